@@ -42,15 +42,26 @@ def check_k(k: int) -> int:
     return k
 
 
-def reads_reversed(kmer: Column, k: int) -> Column:
-    """True where the canonical form is the reverse complement."""
-    return F.substring(kmer, k // 2 + 1, 1).isin("G", "T")
+def reads_reversed(middle: Column) -> Column:
+    """True for a middle base (or its digit) whose k-mer is canonical on the other strand."""
+    return middle.isin("G", "T", "2", "3")
 
 
 def canonical_kmer(kmer: Column, k: int) -> Column:
     """Strand-neutral form: the strand whose middle base is A or C."""
     check_k(k)
-    return on_strand(kmer, reads_reversed(kmer, k))
+    return on_strand(kmer, reads_reversed(F.substring(kmer, k // 2 + 1, 1)))
+
+
+def as_digits(seq: Column) -> Column:
+    return F.translate(seq, STRAND_BASES, "0123")
+
+
+def digits_key(digits: Column, k: int) -> Column:
+    """Key of a k-mer given as base-4 digits."""
+    packed = F.conv(digits, 4, 10).cast("bigint").bitwiseXOR(F.lit(rank_mask(k)))
+    # Never NULL for a k-mer over ACGT; saying so keeps joins from testing the key twice.
+    return F.coalesce(packed, F.lit(-1))
 
 
 def rank_mask(k: int) -> int:
@@ -67,10 +78,7 @@ def kmer_key(kmer: Column, k: int) -> Column:
     """
     if k > MAX_PACKED_K:
         return F.concat(F.md5(kmer), kmer)
-    digits = F.translate(kmer, STRAND_BASES, "0123")
-    packed = F.conv(digits, 4, 10).cast("bigint").bitwiseXOR(F.lit(rank_mask(k)))
-    # Never NULL for a k-mer over ACGT; saying so keeps joins from testing the key twice.
-    return F.coalesce(packed, F.lit(-1))
+    return digits_key(as_digits(kmer), k)
 
 
 def kmer_text(key: Column, k: int) -> Column:
@@ -81,6 +89,27 @@ def kmer_text(key: Column, k: int) -> Column:
     return F.translate(F.lpad(digits, k, "0"), "0123", STRAND_BASES)
 
 
+def seq_keys(fw: Column, bw: Column, k: int) -> Column:
+    """Array of the keys of all k-mers without N of one sequence.
+
+    ``fw`` and ``bw`` are its two strands, as digits where the k-mers are packed.
+    """
+    check_k(k)
+    size = F.length(fw)
+    key = digits_key if k <= MAX_PACKED_K else kmer_key
+
+    def key_at(i: Column) -> Column:
+        forward = F.substr(fw, i + 1, F.lit(k))
+        flipped = reads_reversed(F.substr(fw, i + k // 2 + 1, F.lit(1)))
+        kmer = F.when(flipped, F.substr(bw, size - k - i + 1, F.lit(k))).otherwise(forward)
+        return F.when(~F.contains(forward, F.lit("N")), key(kmer, k))
+
+    keys = F.array_compact(F.transform(F.sequence(F.lit(0), size - k), key_at))
+    none = F.array().cast("array<bigint>" if k <= MAX_PACKED_K else "array<string>")
+    # Never NULL, so that no join pushes a second evaluation below itself.
+    return F.coalesce(F.when(size >= k, keys), none)
+
+
 def phred(char: Column) -> Column:
     """Quality of one quality character."""
     return F.ascii(char) - PHRED_OFFSET

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import DEFAULT_K
-from readloom.operators.kmers import read_keys
+from readloom.operators.kmers import kmer_rows, read_keys
 
 # Fixed value: groups of this many coverages or more are repeats.
 REPEAT_FOLD = 20
@@ -24,16 +24,20 @@ def group_sizes(counts: DataFrame, kmer_cov: int) -> DataFrame:
     return counts.filter(in_size_band(F.col("n"), kmer_cov))
 
 
-def banded_rows(rows: DataFrame, counts: DataFrame, kmer_cov: int, n_occurrences: int) -> DataFrame:
-    """k-mer rows of the groups inside the size band.
+def light_rows(rows: DataFrame, counts: DataFrame, kmer_cov: int, n_occurrences: int) -> DataFrame:
+    """k-mer rows without those of repeats heavy enough to overload a task.
 
-    Rows of repeats heavy enough to overload a task are dropped before the
-    shuffle; those keys are at most HEAVY_SHARE, whatever the data. Every
-    other key is then small against a partition.
+    The dropped keys lie outside the size band and are at most HEAVY_SHARE,
+    whatever the data. Every key left is small against a partition.
     """
     heavy_from = max(REPEAT_FOLD * kmer_cov, n_occurrences // HEAVY_SHARE + 1)
     heavy = counts.filter(F.col("n") >= heavy_from).select("key")
-    light = rows.join(F.broadcast(heavy), "key", "left_anti")
+    return rows.join(F.broadcast(heavy), "key", "left_anti")
+
+
+def banded_rows(rows: DataFrame, counts: DataFrame, kmer_cov: int, n_occurrences: int) -> DataFrame:
+    """k-mer rows of the groups inside the size band."""
+    light = light_rows(rows, counts, kmer_cov, n_occurrences)
     return light.join(group_sizes(counts, kmer_cov).select("key"), "key", "left_semi")
 
 
@@ -107,15 +111,16 @@ def minimal_links(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return shares_no_lower_key(lowest, keys)
 
 
-def nonredundant_groups(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Ordered rows of the groups in which some consecutive pair is linked."""
-    kept = minimal_links(rows, keys).select("key").distinct()
-    return ordered_groups(rows.join(kept, "key", "left_semi"))
-
-
-def read_groups(
-    reads: DataFrame, counts: DataFrame, kmer_cov: int, n_occurrences: int, rows: DataFrame, k: int = DEFAULT_K
+def nonredundant_groups(
+    reads: DataFrame, counts: DataFrame, kmer_cov: int, n_occurrences: int, k: int = DEFAULT_K
 ) -> DataFrame:
-    """Non-redundant groups of ``reads``: (key, read_id, pos, rc, ord)."""
-    banded = banded_rows(rows, counts, kmer_cov, n_occurrences)
-    return nonredundant_groups(banded, read_keys(reads, k)).select("key", "read_id", "pos", "rc", "ord")
+    """Groups in which some consecutive pair is linked: (key, read_id, pos, rc, ord).
+
+    The few groups kept are cut from the reads again rather than carried
+    through the steps that find them.
+    """
+    rows = light_rows(kmer_rows(reads, k), counts, kmer_cov, n_occurrences)
+    banded = rows.join(group_sizes(counts, kmer_cov).select("key"), "key", "left_semi")
+    kept = minimal_links(banded, read_keys(reads, k)).select("key").distinct()
+    ordered = ordered_groups(rows.join(kept, "key", "left_semi"))
+    return ordered.select("key", "read_id", "pos", "rc", "ord")

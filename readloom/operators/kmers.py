@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from readloom.functions.dna import (
     DEFAULT_K,
+    MAX_PACKED_K,
+    as_digits,
     check_k,
+    digits_key,
     error_probability,
     kmer_key,
     kmer_text,
@@ -15,38 +18,40 @@ from readloom.functions.dna import (
     phred_at,
     reads_reversed,
     reverse_complement,
+    seq_keys,
 )
 
 
-def _kmer_windows(reads: DataFrame, k: int) -> DataFrame:
-    """One row per k-mer without N: read_id, canonical text, oriented pos, rc."""
-    check_k(k)
-    # The reverse complement is taken once per read: that of a k-mer is a slice of it.
-    wide = reads.select(
-        "read_id",
-        F.col("seq").alias("fw"),
-        reverse_complement(F.col("seq")).alias("bw"),
-        F.length("seq").alias("len"),
-    ).filter(F.col("len") >= k)
-    cut = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - k)))
+def _strands(reads: DataFrame, k: int, packed: bool) -> DataFrame:
+    """(read_id, fw, bw, len) of the reads with at least one k-mer.
+
+    Strand and digits are worked out once per read; a k-mer is a slice of one
+    of the two strings.
+    """
+    letters = as_digits if packed else (lambda text: text)
+    bw = reverse_complement(F.col("seq"))
+    return reads.select(
+        "read_id", letters(F.col("seq")).alias("fw"), letters(bw).alias("bw"), F.length("seq").alias("len")
+    ).filter(F.col("len") >= check_k(k))
+
+
+def _kmer_windows(reads: DataFrame, k: int, packed: bool) -> DataFrame:
+    """One row per k-mer without N: read_id, canonical k-mer, oriented pos, rc."""
+    cut = _strands(reads, k, packed).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - k)))
     forward = F.substr("fw", F.col("i") + 1, F.lit(k))
     mirrored = F.col("len") - k - F.col("i")
-    rc = reads_reversed(forward, k)
-    return (
-        cut.filter(~F.contains(forward, F.lit("N")))
-        .withColumn("rc", rc)
-        .select(
-            "read_id",
-            F.when(F.col("rc"), F.substr("bw", mirrored + 1, F.lit(k))).otherwise(forward).alias("kmer"),
-            F.when(F.col("rc"), mirrored).otherwise(F.col("i")).alias("pos"),
-            "rc",
-        )
+    middle = F.substr("fw", F.col("i") + k // 2 + 1, F.lit(1))
+    return cut.filter(~F.contains(forward, F.lit("N"))).select(
+        "read_id",
+        F.when(reads_reversed(middle), F.substr("bw", mirrored + 1, F.lit(k))).otherwise(forward).alias("kmer"),
+        F.when(reads_reversed(middle), mirrored).otherwise(F.col("i")).alias("pos"),
+        reads_reversed(middle).alias("rc"),
     )
 
 
 def kmers(reads: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """(kmer, read_id, pos, rc): canonical k-mers and their place in the oriented read."""
-    return _kmer_windows(reads, k).select("kmer", "read_id", "pos", "rc")
+    return _kmer_windows(reads, k, packed=False).select("kmer", "read_id", "pos", "rc")
 
 
 def kmer_rows(reads: DataFrame, k: int = DEFAULT_K) -> DataFrame:
@@ -54,7 +59,9 @@ def kmer_rows(reads: DataFrame, k: int = DEFAULT_K) -> DataFrame:
 
     The form to shuffle: 24 bytes of values and no read body.
     """
-    return _kmer_windows(reads, k).select(kmer_key(F.col("kmer"), k).alias("key"), "read_id", "pos", "rc")
+    packed = k <= MAX_PACKED_K
+    key = digits_key if packed else kmer_key
+    return _kmer_windows(reads, k, packed).select(key(F.col("kmer"), k).alias("key"), "read_id", "pos", "rc")
 
 
 def kmer_counts(reads: DataFrame, k: int = DEFAULT_K) -> DataFrame:
@@ -69,8 +76,9 @@ def with_kmer_text(df: DataFrame, k: int = DEFAULT_K) -> DataFrame:
 
 
 def read_keys(reads: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """(read_id, keys): the distinct k-mer ranks of each read, at most one per base."""
-    return kmer_rows(reads, k).groupBy("read_id").agg(F.collect_set("key").alias("keys"))
+    """(read_id, keys): the k-mer ranks of each read as an array, in place, without a shuffle."""
+    strands = _strands(reads, k, packed=k <= MAX_PACKED_K)
+    return strands.select("read_id", seq_keys(F.col("fw"), F.col("bw"), k).alias("keys"))
 
 
 def bases(reads: DataFrame) -> DataFrame:
