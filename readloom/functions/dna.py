@@ -15,6 +15,9 @@ STRAND_BASES = "ACGT"
 COMPLEMENT_BASES = "TGCA"
 PHRED_OFFSET = 33
 
+# Width of the gap index in an address.
+GAP_BITS = 11
+
 DEFAULT_K = 21
 # Two bits per base have to fit a signed 64-bit integer.
 MAX_PACKED_K = 31
@@ -136,13 +139,13 @@ def trimmed_length(segment: Column) -> Column:
 
 
 def node_key(file_id: Column, pos: Column, gap: Column) -> Column:
-    """Address of a base (or of a gap behind it) as one non-negative bigint.
+    """Address of a base (or of a gap behind it) as one bigint below 2**62.
 
-    11 bits of file, 40 of byte position, 12 of gap index.
+    11 bits of file, 40 of byte position, 11 of gap index.
     """
     return (
-        F.shiftleft(file_id.cast("bigint"), 52)
-        + F.shiftleft(pos.cast("bigint"), 12)
+        F.shiftleft(file_id.cast("bigint"), 51)
+        + F.shiftleft(pos.cast("bigint"), GAP_BITS)
         + gap.cast("bigint")
     )
 
@@ -150,12 +153,25 @@ def node_key(file_id: Column, pos: Column, gap: Column) -> Column:
 def node_address(node: Column) -> dict[str, Column]:
     """Inverse of :func:`node_key`."""
     return {
-        "file_id": F.shiftright(node, 52).cast("int"),
-        "pos": F.shiftright(node, 12).bitwiseAND(F.lit((1 << 40) - 1)),
-        "gap": node.bitwiseAND(F.lit((1 << 12) - 1)).cast("int"),
+        "file_id": F.shiftright(node, 51).cast("int"),
+        "pos": F.shiftright(node, GAP_BITS).bitwiseAND(F.lit((1 << 40) - 1)),
+        "gap": node.bitwiseAND(F.lit((1 << GAP_BITS) - 1)).cast("int"),
     }
 
 
+def pack_call(base: Column, q: Column) -> Column:
+    """Base and quality as one integer, which aggregates without a string buffer."""
+    return q.cast("int") * 128 + F.ascii(base)
+
+
+def called_base(call: Column) -> Column:
+    return F.char(call % 128)
+
+
+def called_quality(call: Column) -> Column:
+    return F.shiftright(call, 7)
+
+
 def read_key(file_id: Column, seq_offset: Column) -> Column:
     """Read id that sorts by sequence offset, then by file."""
     return F.shiftleft(seq_offset.cast("bigint"), 11) + file_id.cast("bigint")

@@ -13,19 +13,24 @@ NO_CALL = "N"
 GAP = "-"
 
 
-def column_profile(members: DataFrame, by: list[str]) -> DataFrame:
-    """One wide row per column: n_<base>, q_<base> for each base, depth, sum_e.
+def base_tallies(members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, base, n, sum_q, sum_e): combined before the shuffle, so a deep column costs no more than a shallow one."""
+    return members.groupBy(*by, "base").agg(
+        F.count("*").alias("n"),
+        F.sum("qual").alias("sum_q"),
+        F.sum(error_probability(F.col("qual"))).alias("sum_e"),
+    )
 
-    The bases are a fixed alphabet, so a column is one aggregate row: counts
-    are combined before the shuffle and a deep column costs no more than a
-    shallow one.
-    """
-    parts = [F.count("*").alias("depth"), F.sum(error_probability(F.col("qual"))).alias("sum_e")]
+
+def column_profile(members: DataFrame, by: list[str]) -> DataFrame:
+    """One wide row per column: n_<base>, q_<base> for each base of the alphabet, depth, sum_e."""
+    parts = [F.sum("n").alias("depth"), F.sum("sum_e").alias("sum_e")]
     for b in ALPHABET:
         here = F.col("base") == b
-        parts.append(F.count(F.when(here, 1)).alias(f"n_{b}"))
-        parts.append(F.sum(F.when(here, F.col("qual")).otherwise(0)).alias(f"q_{b}"))
-    wide = members.groupBy(*by).agg(*parts)
+        parts.append(F.sum(F.when(here, F.col("n")).otherwise(0)).alias(f"n_{b}"))
+        if b != NO_CALL:
+            parts.append(F.sum(F.when(here, F.col("sum_q")).otherwise(0)).alias(f"q_{b}"))
+    wide = base_tallies(members, by).groupBy(*by).agg(*parts)
     return wide.withColumn(f"q_{NO_CALL}", F.lit(0).cast("bigint"))
 
 
@@ -70,7 +75,8 @@ def _votes(profile: DataFrame, keep: list[str]) -> DataFrame:
 
 def column_votes(members: DataFrame, by: list[str]) -> DataFrame:
     """(by, base, n, sum_q) for each base of each column."""
-    return _votes(column_profile(members, by), by)
+    counted = F.when(F.col("base") == NO_CALL, 0).otherwise(F.col("sum_q"))
+    return base_tallies(members, by).select(*by, "base", "n", counted.alias("sum_q"))
 
 
 def reference_bases(members: DataFrame, by: list[str]) -> DataFrame:
