@@ -118,7 +118,7 @@ def valley_and_peak(spectrum_df: DataFrame) -> DataFrame:
     by_multiplicity = Window.orderBy("multiplicity")
     h, before, after = F.col("n_kmers"), F.col("before"), F.col("after")
     marked = (
-        spectrum_df.withColumn("idx", F.row_number().over(by_multiplicity) - 1)
+        spectrum_df.withColumn("idx", (F.row_number().over(by_multiplicity) - 1).cast("bigint"))
         .withColumn("before", F.lag("n_kmers").over(by_multiplicity))
         .withColumn("after", F.lead("n_kmers").over(by_multiplicity))
         .withColumn("valley", (before >= h) & (h <= after))
