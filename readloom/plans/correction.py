@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from readloom.functions.dna import DEFAULT_K
+from readloom.operators.align import CUT_THRESHOLD, MAX_INDEL, anchored_alignment, cluster_fingerprints
 from readloom.operators.correct import call_corrections, edge_nodes, position_members
 from readloom.operators.graph import signed_components
 from readloom.operators.groups import nonredundant_groups
 from readloom.operators.kmers import kmer_counts, read_keys
 from readloom.operators.pileup import (
+    ALIGNMENT,
     agreeing_reads,
     anchored_reads,
     column_edges,
@@ -61,3 +63,22 @@ def ungapped_corrections(reads: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     prepared = prepare(reads, k)
     members = members_of(prepared, ungapped_clusters(prepared))
     return call_corrections(members, prepared.coverage.kmer_cov)
+
+
+def gapped_clusters(prepared: Prepared, band: int = MAX_INDEL, cut: int = CUT_THRESHOLD) -> DataFrame:
+    """Aligned reads (with indels) with the cluster of compatible fingerprints."""
+    aligned = materialize(anchored_alignment(prepared.groups, prepared.reads, prepared.k, band), "aligned")
+    # One row becomes a hundred below, so the partitions are not sized by the rows read back.
+    parts = int(prepared.reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    aligned = aligned.repartition(parts, *ALIGNMENT)
+    marks = polymorphic_columns(aligned, prepared.coverage.kmer_cov)
+    return cluster_fingerprints(read_fingerprints(aligned, marks), cut)
+
+
+def correct_reads(
+    reads: DataFrame, k: int = DEFAULT_K, band: int = MAX_INDEL, cut: int = CUT_THRESHOLD
+) -> DataFrame:
+    """Corrections (file_id, pos, gap, base, qual) of substitutions and indels."""
+    prepared = prepare(reads, k)
+    members = members_of(prepared, materialize(gapped_clusters(prepared, band, cut), "clustered"))
+    return call_corrections(members, prepared.coverage.kmer_cov)
