@@ -298,6 +298,46 @@ sym as (select u, v, s from supply union all select v, u, s from supply)"""
 DOWNWARD = SUPPLY + """,
 down as (select greatest(u, v) as u, least(u, v) as v, s from supply)"""
 
+PAIRED = READS_SQL + f""",
+mate_pairs as (
+  select x.read_id, x.seq as seq1, y.seq as seq2
+  from all_mates x join all_mates y on x.seq_offset = y.seq_offset where x.file_id = 0 and y.file_id = 1),
+mate_text as (select read_id, seq1 as s, false as rc from mate_pairs
+              union all select read_id, seq2, true from mate_pairs),
+kmers as (
+  select substr(s, p + 1, {K}) as kmer, read_id, cast(p as integer) as pos, rc
+  from (select *, unnest(range(len(s) - {K - 1})) as p from mate_text)
+  where not contains(substr(s, p + 1, {K}), 'N'))""" + PAIRS[len(KMERS):] + """,
+ends as (
+  select p.a, p.b, p.rc_a, p.rc_b, p."offset",
+         case when p.rc_a then x.seq2 else x.seq1 end as a1, case when p.rc_a then x.seq1 else x.seq2 end as a2,
+         case when p.rc_b then y.seq2 else y.seq1 end as b1, case when p.rc_b then y.seq1 else y.seq2 end as b2
+  from pairs p join mate_pairs x on x.read_id = p.a join mate_pairs y on y.read_id = p.b),
+end1 as (
+  select *, least(len(a1) - greatest("offset", 0), len(b1) - greatest(-"offset", 0)) as n1 from ends),
+hit1 as (
+  select *, list_sum(list_transform(range(n1), lambda j: case when
+         a1[greatest("offset", 0) + j + 1] = b1[greatest(-"offset", 0) + j + 1] then 1 else 0 end)) as m1
+  from end1 where n1 > 0),
+good1 as (select *, 2 * m1 - n1 as s1 from hit1 where m1 / n1 >= 0.9 and m1 >= 21),
+tries as (select *, unnest(range(1 - len(b2), len(a2))) as y from good1),
+end2 as (select *, least(len(a2) - greatest(y, 0), len(b2) - greatest(-y, 0)) as n2 from tries),
+first2 as (
+  select * from end2 where n2 < 5 or (
+    (a2[greatest(y, 0) + 1] = b2[greatest(-y, 0) + 1])::int + (a2[greatest(y, 0) + 2] = b2[greatest(-y, 0) + 2])::int
+    + (a2[greatest(y, 0) + 3] = b2[greatest(-y, 0) + 3])::int + (a2[greatest(y, 0) + 4] = b2[greatest(-y, 0) + 4])::int
+    + (a2[greatest(y, 0) + 5] = b2[greatest(-y, 0) + 5])::int >= 4)),
+hit2 as (
+  select *, list_sum(list_transform(range(n2), lambda j: case when
+         a2[greatest(y, 0) + j + 1] = b2[greatest(-y, 0) + j + 1] then 1 else 0 end)) as m2
+  from first2),
+laid2 as (
+  select a, b, rc_a, rc_b, "offset", y, s1 + 2 * m2 - n2 as score from hit2 where m2 / n2 >= 0.9 and m2 >= 21),
+placed_best as (
+  select a, b, rc_a, rc_b, "offset", cast(arg_min(y, -score * 1000 + y) as integer) as y,
+         cast(max(score) as integer) as score
+  from laid2 group by a, b, rc_a, rc_b, "offset")"""
+
 SCORE_COLUMNS = 'a, b, rc_a, rc_b, "offset", overlap, matches, score'
 
 
@@ -412,6 +452,7 @@ strand_edges as (
         + labels("strand_edges", "lab"),
         "select node, rep, s from lab",
     ),
+    "paired_best_match": _sql(PAIRED, "select * from placed_best"),
     "component_members": _sql(MEMBERS, "select rep, s, file_id, pos, gap, base, qual from members"),
     "call_corrections": _sql(CORRECTIONS, "select file_id, pos, gap, base, qual from corrections"),
     "apply_corrections": _sql(

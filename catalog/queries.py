@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from catalog import reads as source
 from readloom.functions.dna import error_probability, reverse_complement
 from readloom.functions.stats import binomial_quantile
-from readloom.operators import columns, correct, graph, groups, kmers, overlap, pileup
+from readloom.operators import align, columns, correct, graph, groups, kmers, overlap, paired, pileup
 from readloom.plans import correction
-from readloom.plans.spectrum import dataset_stats
+from readloom.plans.spectrum import coverage, dataset_stats
 from readloom.session import materialize
 
 _shared: dict[tuple[str, str, str], object] = {}
@@ -289,6 +289,47 @@ def apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("read_id", "seq", "qual")
 
 
+def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = prepared(spark, sf_dir)
+    return _once(
+        spark, sf_dir, "gapped", lambda: materialize(align.anchored_alignment(ready.groups, ready.reads), "gapped")
+    )
+
+
+def anchored_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text(_gapped(spark, sf_dir).withColumn("n_nodes", F.size("nodes")).drop("nodes"))
+
+
+def fingerprint_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = align.cluster_fingerprints(_fingerprints(spark, sf_dir))
+    return _text(clustered.select("key", "ord", "read_id", "cluster"))
+
+
+def column_error_test_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.column_error_test_exact(source.genome_columns(spark, sf_dir), ["col"], cap=16)
+
+
+def correct_reads_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.correct_reads(source.reads(spark, sf_dir))
+
+
+def _paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        rows = paired.paired_rows(source.mate_pairs(spark, sf_dir))
+        counts = materialize(rows.groupBy("key").agg(F.count("*").alias("n")), "paired-counts")
+        cover = coverage(counts)
+        return materialize(
+            groups.banded_rows(rows, counts, cover.kmer_cov, cover.n_occurrences), "paired-rows"
+        )
+
+    return _once(spark, sf_dir, "paired", build)
+
+
+def paired_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = groups.overlap_pairs(_paired_rows(spark, sf_dir))
+    return overlap.paired_best_match(candidates, source.mate_pairs(spark, sf_dir))
+
+
 QUERIES = {
     "reverse_complement": reverse_complements,
     "kmers": all_kmers,
@@ -326,4 +367,9 @@ QUERIES = {
     "component_members": component_members,
     "call_corrections": call_corrections,
     "apply_corrections": apply_corrections,
+    "paired_best_match": paired_best_match,
+    "anchored_alignment": anchored_alignment,
+    "fingerprint_clusters": fingerprint_clusters,
+    "column_error_test_exact": column_error_test_exact,
+    "correct_reads_gapped": correct_reads_gapped,
 }

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from readloom.functions.dna import ALPHABET, error_probability
-from readloom.functions.stats import binomial_quantile
+from readloom.functions.stats import QUANTILE_MASS, binomial_quantile
 
 # An N adds no quality to its column.
 NO_CALL = "N"
 GAP = "-"
+# Fixed value: deeper columns are tested by the binomial.
+EXACT_DEPTH = 1000
 
 
 def base_tallies(members: DataFrame, by: list[str]) -> DataFrame:
@@ -116,6 +121,63 @@ def column_error_test(
     return error_test_of_profile(column_profile(members, by), by, cap, margin_fold, fold)
 
 
+def _quality_sum_quantile(quals: np.ndarray) -> int:
+    """Least t with P(sum of the qualities of wrong bases <= t) >= 0.9999, bases independent."""
+    mass = np.ones(1)
+    for q in np.sort(quals):
+        e = 10.0 ** (-q / 10.0)
+        grown = np.zeros(len(mass) + q)
+        grown[: len(mass)] += mass * (1 - e)
+        grown[q:] += mass * e
+        mass = grown
+    reached = np.nonzero(np.cumsum(mass) >= QUANTILE_MASS)[0]
+    return int(reached[0]) if len(reached) else len(mass) - 1
+
+
+@F.pandas_udf(IntegerType())
+def _quantile_of(quals: pd.Series) -> pd.Series:
+    return quals.map(lambda q: _quality_sum_quantile(np.asarray(q, dtype=int)))
+
+
+def column_error_test_exact(members: DataFrame, by: list[str], cap: int | None = None) -> DataFrame:
+    """(by, base, n, sum_q, is_error) by the exact distribution of the quality sum of a column.
+
+    Bases are errors, lightest first, while their running quality sum stays
+    within its 0.9999 quantile; the ``cap`` lowest qualities of a base count.
+    Columns of more than EXACT_DEPTH bases take :func:`column_error_test`.
+
+    A column travels as a histogram of at most bases x qualities entries,
+    however deep it is, and Python sees only its array of qualities.
+    """
+    histogram = members.groupBy(*by, "base", "qual").agg(F.count("*").alias("n"))
+    per_base = histogram.groupBy(*by, "base").agg(
+        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("qual", "n"))).alias("quals")
+    )
+    depth = per_base.withColumn("depth", F.sum("n").over(Window.partitionBy(*by)))
+    spread = F.flatten(F.transform("quals", lambda h: F.array_repeat(h["qual"], h["n"].cast("int"))))
+    kept = spread if cap is None else F.slice(spread, 1, cap)
+    small = depth.filter(F.col("depth") <= EXACT_DEPTH).withColumn("quals", kept)
+    total = F.aggregate("quals", F.lit(0).cast("bigint"), lambda acc, q: acc + q)
+    summed = small.withColumn("sum_q", F.when(F.col("base") == NO_CALL, F.lit(0)).otherwise(total))
+    tested = summed.groupBy(*by).agg(
+        F.flatten(F.collect_list(F.when(F.col("base") != NO_CALL, F.col("quals")))).alias("all"),
+        F.collect_list(F.struct("base", "n", "sum_q")).alias("votes"),
+    )
+    rows = tested.withColumn("limit", _quantile_of("all")).select(*by, "limit", F.inline("votes"))
+    lightest = Window.partitionBy(*by).orderBy("sum_q", "base")
+    running = rows.withColumn(
+        "running", F.sum("sum_q").over(lightest.rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("heaviest", F.sum("sum_q").over(Window.partitionBy(*by)))
+    exact = F.when(F.col("heaviest") > F.col("limit"), F.col("running") <= F.col("limit")).otherwise(
+        F.col("sum_q") == 0
+    )
+    deep = column_profile(members, by).filter(F.col("depth") > EXACT_DEPTH)
+    columns = [*by, "base", "n", "sum_q", "is_error"]
+    return running.withColumn("is_error", exact).select(*columns).unionByName(
+        error_test_of_profile(deep, by, cap, 0.0, 1.0).select(*columns)
+    )
+
+
 def weighted_consensus(df: DataFrame, by: list[str], value: str, weight: Column) -> DataFrame:
     """(by, value, weight): the value with the largest total weight, the lowest value on a tie."""
     votes = df.groupBy(*by, value).agg(F.sum(weight).alias("weight"))
