@@ -175,9 +175,10 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _agreeing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(
+    made = _once(
         spark, sf_dir, "agreeing", lambda: materialize(pileup.agreeing_reads(_aligned(spark, sf_dir)), "agreeing")
     )
+    return pileup.by_alignment(made)
 
 
 def consensus_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +215,13 @@ def read_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pileup.equal_print_clusters(_fingerprints(spark, sf_dir))
+    made = _once(
+        spark,
+        sf_dir,
+        "clustered",
+        lambda: materialize(pileup.equal_print_clusters(_fingerprints(spark, sf_dir)), "clustered"),
+    )
+    return pileup.by_alignment(made)
 
 
 def _cliques(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,9 @@ from readloom.operators.graph import signed_components
 from readloom.operators.groups import nonredundant_groups
 from readloom.operators.kmers import kmer_counts, read_keys
 from readloom.operators.pileup import (
-    ALIGNMENT,
     agreeing_reads,
     anchored_reads,
+    by_alignment,
     column_edges,
     equal_print_clusters,
     polymorphic_columns,
@@ -46,13 +46,15 @@ def prepare(reads: DataFrame, k: int = DEFAULT_K) -> Prepared:
 
 def ungapped_clusters(prepared: Prepared) -> DataFrame:
     """Aligned reads (no indels) with the cluster of equal fingerprints."""
-    aligned = agreeing_reads(anchored_reads(prepared.groups, prepared.reads))
+    aligned = materialize(agreeing_reads(anchored_reads(prepared.groups, prepared.reads)), "agreeing")
+    aligned = by_alignment(aligned)
     marks = polymorphic_columns(aligned, prepared.coverage.kmer_cov)
     return equal_print_clusters(read_fingerprints(aligned, marks))
 
 
 def members_of(prepared: Prepared, clustered: DataFrame) -> DataFrame:
     """Members of the components of base addresses."""
+    clustered = by_alignment(materialize(clustered, "clustered"))
     edges = materialize(column_edges(clustered, read_keys(prepared.reads, prepared.k)), "cells")
     labels = signed_components(edges)
     return position_members(labels, edge_nodes(edges))
@@ -68,9 +70,7 @@ def ungapped_corrections(reads: DataFrame, k: int = DEFAULT_K) -> DataFrame:
 def gapped_clusters(prepared: Prepared, band: int = MAX_INDEL, cut: int = CUT_THRESHOLD) -> DataFrame:
     """Aligned reads (with indels) with the cluster of compatible fingerprints."""
     aligned = materialize(anchored_alignment(prepared.groups, prepared.reads, prepared.k, band), "aligned")
-    # One row becomes a hundred below, so the partitions are not sized by the rows read back.
-    parts = int(prepared.reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    aligned = aligned.repartition(parts, *ALIGNMENT)
+    aligned = by_alignment(aligned)
     marks = polymorphic_columns(aligned, prepared.coverage.kmer_cov)
     return cluster_fingerprints(read_fingerprints(aligned, marks), cut)
 
@@ -80,5 +80,5 @@ def correct_reads(
 ) -> DataFrame:
     """Corrections (file_id, pos, gap, base, qual) of substitutions and indels."""
     prepared = prepare(reads, k)
-    members = members_of(prepared, materialize(gapped_clusters(prepared, band, cut), "clustered"))
+    members = members_of(prepared, gapped_clusters(prepared, band, cut))
     return call_corrections(members, prepared.coverage.kmer_cov)
