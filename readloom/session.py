@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _run_folders: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession, *packages: str) -> None:
+    """Send the sources of this package, and of ``packages`` (folders beside it), to the executors, once a session.
+
+    Python workers import the functions of a pandas UDF by name; they need the package even where it is not installed.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(here)
+    path = os.path.join(tempfile.mkdtemp(prefix="readloom-code-"), "readloom_code.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for package in (here, *(os.path.join(root, p) for p in packages)):
+            for folder, _, files in os.walk(package):
+                for name in (f for f in files if f.endswith(".py")):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:
