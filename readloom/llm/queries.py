@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import langid, quality, urlfilter
-from readloom.llm.common import table
+from readloom.llm import bpe_tree, langid, quality, simhash, token_counts, urlfilter
+from readloom.llm.common import shared_folder, table
 
 #: host, path, verdict
 URL_RULES = [
@@ -18,6 +20,29 @@ URL_RULES = [
 ]
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache starts empty in each call, so that a call does all its work."""
+    cache = f"{shared_folder(spark).rstrip('/')}/token-cache-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json"), cache)
+
+
+def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.encode_documents(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return made.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = quality.fold(F.col("doc_id"), 4) == 2
@@ -45,6 +70,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op4_bpe_tree": op4_bpe_tree,
+    "op5_simhash": op5_simhash,
     "op7_language": op7_language,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
