@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe_tree, langid, quality, simhash, token_counts, urlfilter
+from readloom.llm import bpe_tree, langid, mixing, quality, simhash, token_counts, urlfilter
 from readloom.llm.common import shared_folder, table
 
 #: host, path, verdict
@@ -27,6 +27,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache starts empty in each call, so that a call does all its work."""
     cache = f"{shared_folder(spark).rstrip('/')}/token-cache-{uuid.uuid4().hex}"
@@ -70,6 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mix": op1_mix,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_simhash": op5_simhash,
