@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe_tree, langid, mixing, quality, simhash, token_counts, urlfilter
+from readloom.llm import bpe_tree, langid, mixing, quality, simhash, token_counts, topk, urlfilter
 from readloom.llm.common import shared_folder, table
 
 #: host, path, verdict
@@ -48,6 +48,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = quality.fold(F.col("doc_id"), 4) == 2
@@ -79,6 +84,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_simhash": op5_simhash,
+    "op6_topk": op6_topk,
     "op7_language": op7_language,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
@@ -87,6 +93,20 @@ QUERIES = {
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLE = {
+    "op6_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select q.vec_id as query_id, c.vec_id,
+                   cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+        select query_id, cast(rank as integer) as rank, vec_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+        where rank <= 10
+    """,
     "op9_url_filter": rf"""
         with rules(rhost, rpath, rverdict) as (values {_RULES_SQL}),
         u as (
