@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe_tree, langid, mixing, quality, simhash, token_counts, topk, urlfilter
+from readloom.llm import bpe_tree, langid, mixing, quality, simhash, token_counts, topk, urlfilter, warc
 from readloom.llm.common import shared_folder, table
 
 #: host, path, verdict
@@ -64,6 +64,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return warc.records(warc.write(table(spark, sf_dir, "pages"), folder))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
@@ -86,6 +91,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
     "op7_language": op7_language,
+    "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
 }
@@ -107,6 +113,25 @@ ORACLE = {
         from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
         where rank <= 10
     """,
+    "op8_warc": """
+        with p as (
+            select page_id, coalesce(html, '') as html from pages),
+        d as (
+            select page_id, strlen(html) as payload_bytes, sha1(html) as hex from p),
+        b as (
+            select page_id, payload_bytes, hex,
+                   array_to_string(list_transform(range(0, 8), lambda g:
+                       array_to_string(list_transform([15, 10, 5, 0], lambda s:
+                           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                                  ((cast('0x' || substr(hex, cast(g * 5 + 1 as int), 5) as bigint) >> s) & 31) + 1, 1)), '')), '')
+                   as payload_digest
+            from d),
+        f as (select hex, min(page_id) as first from b group by hex)
+        select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+               case when page_id = first then 'response' else 'revisit' end as record_type,
+               case when page_id <> first then first end as refers_to
+        from b join f using (hex)
+    """,
     "op9_url_filter": rf"""
         with rules(rhost, rpath, rverdict) as (values {_RULES_SQL}),
         u as (
