@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe_tree, langid, mixing, quality, simhash, token_counts, topk, urlfilter, warc
+from readloom.llm import bpe_tree, langid, mixing, phrases, quality, simhash, token_counts, topk, urlfilter, warc
 from readloom.llm.common import shared_folder, table
 
 #: host, path, verdict
@@ -32,6 +32,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache starts empty in each call, so that a call does all its work."""
     cache = f"{shared_folder(spark).rstrip('/')}/token-cache-{uuid.uuid4().hex}"
@@ -86,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_fingerprints": op2_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_simhash": op5_simhash,
