@@ -105,13 +105,13 @@ def parse(texts: list[str]):
     names = _mix(names + _ONE)
     for level in range(MOST_LEVELS):
         yield level, names, owner
+        more = np.bincount(owner, minlength=len(texts))[owner] > 1  # a text of one name is done
+        names, owner = names[more], owner[more]
         if not len(names):
             return
         first = np.empty(len(names), bool)
         first[0] = True
         np.not_equal(owner[1:], owner[:-1], out=first[1:])
-        if first.all():
-            return
         docs = owner[first]
         names, first = _collapse(names, first)
         begin = _phrases(names, first)
