@@ -114,8 +114,10 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 1024) -> D
     keyed = docs.select(
         "doc_id",
         F.octet_length(content()).cast("long").alias("n_bytes"),
-        F.sha2(content().cast("binary"), 256).alias("digest"),
+        F.unhex(F.sha2(content().cast("binary"), 256)).alias("key"),
     )
-    return keyed.join(cached(spark, cache, version_of(vocabulary)), "digest").select(
+    # keys of half the length; and both sides come to the join by its own shuffles, so a hot digest can be split there
+    counts = cached(spark, cache, version_of(vocabulary)).select(F.unhex("digest").alias("key"), "n_tokens")
+    return keyed.join(counts, "key").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
