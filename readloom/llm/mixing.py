@@ -91,12 +91,12 @@ def solve(pairs: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
         F.lit(0.0).alias("tilt"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"),
         F.lit(False).alias("done"),
     )
-    state = materialize(state, "mix-state")
+    state = materialize(state.coalesce(1), "mix-state")  # one row a source: one file
     for _ in range(MOST_ROUNDS):
         after = state
         for _ in range(_STEPS):
             after = _newton(pairs, after, most)
-        state = materialize(after, "mix-state")
+        state = materialize(after.coalesce(1), "mix-state")
         if state.filter("not done").isEmpty():
             break
     return state.drop("low", "high", "done")
