@@ -10,6 +10,10 @@ Why agreement is enough: the pattern that splits words looks ahead by less than
 back, so from a common word end on both scans are one; and inside a word a merge sequence is right if all pairs of
 neighbouring tokens are, and these are pairs of one of the encodings.
 
+Short texts are split at ASCII white space, which the vocabulary's normaliser and word pattern drop and never look
+across, and a part is encoded and decoded once for as long as a worker remembers it. Decoded tokens are joined by
+spaces, so the parts' decodings are as well.
+
 Cuts fall before an ASCII character where there is one nearby, so composing normalisation doesn't cross them.
 
 Nulls: a null text counts as empty; it gives no tokens. Repeated rows each get their row.
@@ -117,6 +121,54 @@ def join_all(encoder, parts: list):
     return parts[0]
 
 
+#: Ids and decoded text of the parts met, by vocabulary; what a worker remembers between batches.
+_parts: dict[str, dict] = {}
+_MOST_PARTS = 300_000
+
+
+_BEFORE_MARK = re.compile(rb"(?<=[a-z])(?=[,.;:!?])")
+_TOGETHER = 2000
+
+
+def parts_of(text: str) -> list[bytes]:
+    """The text cut at ASCII white space and between a letter and a mark; A-Z lowered where no special token is near.
+
+    All of these are word ends to the vocabulary, which lowers letters itself.
+    """
+    packed = text.encode("utf-8", "surrogatepass")
+    if b"<|" not in packed:
+        packed = packed.lower()
+    return _BEFORE_MARK.sub(b" ", packed).split()
+
+
+def _encode_each(encoder, words: list[str]) -> list[np.ndarray]:
+    """Ids of words without white space, encoded some thousands at a time with spaces between."""
+    out = []
+    runs = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+    for run, made in zip(runs, encoder.encode_batch([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+        ends = np.cumsum([len(w) + 1 for w in run])
+        ids, (starts, _) = np.array(made.ids, "<u4"), np.array(made.offsets, np.int64).reshape(-1, 2).T
+        out += np.split(ids, np.searchsorted(starts, ends[:-1]))
+    return out
+
+
+def encode_by_parts(encoder, texts: list[str], parts: dict) -> list[tuple[int, bytes, str]]:
+    """(number of tokens, ids, decoded text) of each text, put together from its parts."""
+    split = [parts_of(text) for text in texts]
+    if len(parts) > _MOST_PARTS:
+        parts.clear()
+    new = list(set().union(*split).difference(parts))
+    ids = _encode_each(encoder, [p.decode("utf-8", "surrogatepass") for p in new])
+    decoded = encoder.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+    parts.update((p, (i.tobytes(), d)) for p, i, d in zip(new, ids, decoded, strict=True))
+    rows = []
+    for own in split:
+        found = [parts[p] for p in own]
+        packed = b"".join([i for i, _ in found])
+        rows.append((len(packed) // 4, packed, " ".join([d for i, d in found if i])))
+    return rows
+
+
 def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """key, n_tokens, ids (little-endian uint32), decoded, and all columns of ``docs`` but its texts.
 
@@ -131,10 +183,9 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids binary, decoded string")
     def whole(texts: pd.Series) -> pd.DataFrame:
         encoder, rows = tokenizer(sent.value), []
+        parts = _parts.setdefault(sent.value, {})
         for run in by_size(texts, _BATCH):
-            ids = [e.ids for e in encoder.encode_batch_fast(run, add_special_tokens=False)]
-            decoded = encoder.decode_batch(ids, skip_special_tokens=False)
-            rows += [(len(i), np.array(i, "<u4").tobytes(), d) for i, d in zip(ids, decoded, strict=True)]
+            rows += encode_by_parts(encoder, run, parts)
         return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
 
     def cut(batches):
@@ -170,7 +221,9 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     # the same scan in both uses: ids depend on the place in a file only
     longs = keyed.withColumn("__key", F.monotonically_increasing_id()).filter(is_long)
     pieces = longs.select(F.col("__key").alias("key"), F.col("__text").alias("text")).mapInPandas(cut, _PIECES)
-    encoded = pieces.repartition("key", "leaf").mapInPandas(encode_leaves, _ENCODED)
+    # a set number of parts: adaptive execution would size them by bytes and not by work
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encoded = pieces.repartition(n_parts, "key", "leaf").mapInPandas(encode_leaves, _ENCODED)
     grown = encoded.groupBy("key").applyInPandas(grow, _RESULT).withColumnRenamed("key", "__key")
     joined = longs.drop("__text").join(grown, "__key").select(*rest, "n_tokens", "ids", "decoded")
     return short.unionByName(joined)
