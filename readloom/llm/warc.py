@@ -233,7 +233,9 @@ def read_chunks(archives: DataFrame, with_data: bool = True) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return archives.select("archive").repartition(F.col("archive")).mapInPandas(read_part, _CHUNKS)
+    names = archives.select("archive")
+    # a task for each archive; the list is too small for its bytes to tell the work behind it
+    return names.repartition(max(1, names.count())).mapInPandas(read_part, _CHUNKS)
 
 
 def records(archives: DataFrame) -> DataFrame:
