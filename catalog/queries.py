@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import reads as source
 from readloom.functions.dna import error_probability, reverse_complement
 from readloom.functions.stats import binomial_quantile
-from readloom.operators import align, columns, correct, graph, groups, kmers, overlap, paired, pileup
+from readloom.operators import columns, correct, graph, groups, kmers, overlap, paired, pileup, prints
 from readloom.plans import correction
 from readloom.plans.spectrum import coverage, dataset_stats
-from readloom.session import materialize
+from readloom.session import materialize, shared_folder
+from readloom.sources.fastq import read_fastq
+from readloom.sources.sinks import write_fastq
 
 _shared: dict[tuple[str, str, str], object] = {}
 
@@ -160,7 +164,7 @@ def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_error_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.column_error_test(source.genome_columns(spark, sf_dir), ["col"], cap=16)
+    return columns.column_error_test(source.genome_columns(spark, sf_dir), ["col"])
 
 
 def weighted_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,9 +210,9 @@ def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = _fingerprints(spark, sf_dir)
+    printed = _fingerprints(spark, sf_dir)
     return _text(
-        prints.select(
+        printed.select(
             "key", "ord", "read_id", "print", F.array_join(F.transform("print_q", lambda q: q.cast("string")), ",").alias("print_q")
         )
     )
@@ -234,11 +238,7 @@ def column_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clique_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One number per clique: the least node and strand do not depend on how it is made.
-    cliques = _cliques(spark, sf_dir)
-    name = F.concat_ws("/", "key", "cluster", "col")
-    numbered = cliques.withColumn("clique_id", F.shiftright(F.xxhash64(name), 1).bitwiseAND(F.lit((1 << 62) - 1)))
-    return graph.clique_edges(numbered)
+    return graph.clique_edges(_cliques(spark, sf_dir), ["key", "cluster", "col"])
 
 
 def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,40 +284,55 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def component_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _members(spark, sf_dir)
+    return correct.with_file(_members(spark, sf_dir), source.files(spark, sf_dir))
 
 
-def call_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.call_corrections(_members(spark, sf_dir), prepared(spark, sf_dir).coverage.kmer_cov)
 
 
-def apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = correct.apply_corrections(source.reads(spark, sf_dir), call_corrections(spark, sf_dir))
-    return fixed.select("read_id", "seq", "qual")
+def call_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correct.with_file(_corrections(spark, sf_dir), source.files(spark, sf_dir))
 
 
-def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = prepared(spark, sf_dir)
-    return _once(
-        spark, sf_dir, "gapped", lambda: materialize(align.anchored_alignment(ready.groups, ready.reads), "gapped")
+def apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The called corrections, and planted ones that drop and insert bases."""
+    reads = source.reads(spark, sf_dir)
+    dropped = reads.filter(F.col("rec_offset") % 1792 == 0).select(
+        (F.col("address") + 3).alias("address"), F.lit(0).alias("gap"), F.lit("-").alias("base"), F.lit(5).alias("qual")
     )
+    inserted = reads.filter(F.col("rec_offset") % 2816 == 0).select(
+        (F.col("address") + 5).alias("address"), F.explode(F.array(F.lit(1), F.lit(2))).alias("gap")
+    )
+    inserted = inserted.select(
+        "address", "gap", F.when(F.col("gap") == 1, "A").otherwise("C").alias("base"), (F.col("gap") + 6).alias("qual")
+    )
+    fixes = _corrections(spark, sf_dir).unionByName(dropped).unionByName(inserted)
+    return correct.apply_corrections(reads, fixes).select("read_id", "seq", "qual")
 
 
-def anchored_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text(_gapped(spark, sf_dir).withColumn("n_nodes", F.size("nodes")).drop("nodes"))
+def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived reads written as FASTQ, one folder a file, and read back."""
+    folder = f"{shared_folder(spark).rstrip('/')}/fastq-{uuid.uuid4().hex}"
+    write_fastq(source.reads(spark, sf_dir), folder)
+    parts = [
+        read_fastq(spark, f"{folder}/file_id={i}").select(F.lit(i).alias("file_id"), "name", "seq", "qual") for i in (0, 1)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = prepared(spark, sf_dir)
+    return groups.outside_band(ready.counts, ready.coverage.kmer_cov)
 
 
 def fingerprint_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = align.cluster_fingerprints(_fingerprints(spark, sf_dir))
+    clustered = prints.cluster_fingerprints(_fingerprints(spark, sf_dir))
     return _text(clustered.select("key", "ord", "read_id", "cluster"))
 
 
 def column_error_test_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.column_error_test_exact(source.genome_columns(spark, sf_dir), ["col"], cap=16)
-
-
-def correct_reads_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correction.correct_reads(source.reads(spark, sf_dir))
+    return columns.column_error_test_exact(source.genome_columns(spark, sf_dir), ["col"])
 
 
 def _paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,6 +353,8 @@ def paired_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "read_fastq": fastq_round_trip,
+    "repeat_groups": repeat_groups,
     "reverse_complement": reverse_complements,
     "kmers": all_kmers,
     "canonical_kmer_counts": canonical_kmer_counts,
@@ -375,8 +392,6 @@ QUERIES = {
     "call_corrections": call_corrections,
     "apply_corrections": apply_corrections,
     "paired_best_match": paired_best_match,
-    "anchored_alignment": anchored_alignment,
     "fingerprint_clusters": fingerprint_clusters,
     "column_error_test_exact": column_error_test_exact,
-    "correct_reads_gapped": correct_reads_gapped,
 }

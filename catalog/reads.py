@@ -3,8 +3,8 @@
 The driver's tables hold no DNA. Every order gives one read pair: its key is
 hashed to a start in a genome whose bases are hashes of their positions, so the
 number of reads and the genome grow with the table and coverage stays near 30.
-The reads carry substitutions (low quality), a few N, insertions and deletions,
-and two haplotypes.
+The reads carry substitutions (low quality), a few N, lower-case bases, ambiguity
+codes and dots, insertions and deletions, and two haplotypes.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import PHRED_OFFSET, on_strand, read_key
+from readloom.functions.dna import PHRED_OFFSET, clean_bases, on_strand
 from readloom.session import materialize
 
 READ_SCHEMA = (
-    "read_id bigint, file_id int, rec_offset bigint, seq_offset bigint, name string, "
+    "read_id bigint, file_id int, rec_offset bigint, seq_offset bigint, address bigint, name string, "
     "seq string, qual string"
 )
 HEX = "0123456789abcdef"
@@ -29,12 +29,14 @@ def _hex_number(digest: Column, start: int, length: int) -> Column:
 
 
 def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per base as sequenced: (id, mate, rev, len, i, g, b, q), in forward direction.
+    """One row per base as sequenced: (id, mate, rev, len, i, g, raw, b, q), in forward direction.
+
+    ``raw`` is the letter in the file, ``b`` the base it stands for.
 
     Partitioned by id, so that a read is put together without another shuffle.
     """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
-    genome = orders.agg(F.greatest(F.floor(F.count("*") * 10 / 3), F.lit(400))).scalar()
+    genome = orders.agg(F.greatest(F.floor(F.count("*") * 20 / 3), F.lit(400))).scalar()
     placed = (
         orders.repartition(spark.sparkContext.defaultParallelism, "id")
         .withColumn("d", F.md5(F.concat(F.lit("s"), F.col("id").cast("string"))))
@@ -68,6 +70,8 @@ def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).otherwise(true_base)
     wrong = F.substring("m", 1, 2) < "03"
     none = F.substring("m", 3, 3) == "000"
+    code, dot = F.substring("m", 10, 3) == "000", F.substring("m", 13, 3) == "000"
+    base = F.when(none, "N").when(wrong, F.translate(own, "ACGT", "CGTA")).otherwise(own)
     return cells.select(
         "id",
         "mate",
@@ -75,7 +79,8 @@ def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
         "len",
         "i",
         "g",
-        F.when(none, "N").when(wrong, F.translate(own, "ACGT", "CGTA")).otherwise(own).alias("b"),
+        F.when(code, "R").when(dot, ".").when(F.substring("m", 8, 2) == "00", F.lower(base)).otherwise(base).alias("raw"),
+        F.when(code | dot, "N").otherwise(base).alias("b"),
         F.when(none, 2)
         .when(wrong, 5)
         .otherwise(F.pmod(_hex_number(F.col("m"), 6, 2), F.lit(30)) + 10)
@@ -84,21 +89,35 @@ def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _as_reads(cells: DataFrame) -> DataFrame:
+def _file_bytes(spark: SparkSession, sf_dir: str):
+    """Size of each of the two made-up files."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.agg((F.coalesce(F.max("o_orderkey"), F.lit(-1)) + 1) * RECORD_BYTES)
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, start, bytes) of the two files laid end to end."""
+    size = _file_bytes(spark, sf_dir).scalar()
+    return spark.range(2).select(F.col("id").cast("int").alias("file_id"), (F.col("id") * size).alias("start"), size.alias("bytes"))
+
+
+def _as_reads(cells: DataFrame, file_bytes: Column) -> DataFrame:
     """Bases -> reads as a FASTQ scan gives them (a read has at most 100 bases)."""
     packed = cells.groupBy("id", "mate", "rev").agg(
-        F.array_sort(F.collect_list(F.struct("i", "b", F.char(F.col("q") + PHRED_OFFSET).alias("c")))).alias("fwd")
+        F.array_sort(F.collect_list(F.struct("i", "raw", F.char(F.col("q") + PHRED_OFFSET).alias("c")))).alias("fwd")
     )
-    seq = F.array_join(F.col("fwd.b"), "")
+    seq = clean_bases(F.array_join(F.col("fwd.raw"), ""))
     qual = F.array_join(F.col("fwd.c"), "")
     rec_offset = F.col("id") * RECORD_BYTES
     # The second mate is read from the opposite strand.
     rev = F.col("rev") != (F.col("mate") == 1)
+    address = F.col("mate") * file_bytes + rec_offset + 16
     return packed.select(
-        read_key(F.col("mate"), rec_offset + 16).alias("read_id"),
+        address.alias("read_id"),
         F.col("mate").alias("file_id"),
         rec_offset.alias("rec_offset"),
         (rec_offset + 16).alias("seq_offset"),
+        address.alias("address"),
         F.concat(F.lit("@order/"), F.col("id").cast("string")).alias("name"),
         on_strand(seq, rev).alias("seq"),
         F.when(rev, F.reverse(qual)).otherwise(qual).alias("qual"),
@@ -115,33 +134,30 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _written[key]
 
 
-def all_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both mates; the derived table is written once per application."""
-    return _once(spark, sf_dir, "reads", lambda: _as_reads(sequenced(spark, sf_dir)))
-
-
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First mates: the input of the single-end operators."""
-    return all_mates(spark, sf_dir).filter("file_id = 0")
+    """All reads of both files; the derived table is written once per application."""
+    return _once(
+        spark, sf_dir, "reads", lambda: _as_reads(sequenced(spark, sf_dir), _file_bytes(spark, sf_dir).scalar())
+    )
 
 
 def mate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, seq1, seq2): both files at the same offset."""
-    both = all_mates(spark, sf_dir)
+    both = reads(spark, sf_dir)
     first = both.filter("file_id = 0").select("read_id", "seq_offset", F.col("seq").alias("seq1"))
     second = both.filter("file_id = 1").select("seq_offset", F.col("seq").alias("seq2"))
     return first.join(second, "seq_offset")
 
 
 def genome_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bases of the first mates by true genome position: (col, file_id, pos, gap, base, qual, strand)."""
+    """Bases of all reads by true genome position: (col, file_id, pos, gap, base, qual, strand)."""
 
     def build() -> DataFrame:
-        cells = sequenced(spark, sf_dir).filter("mate = 0")
+        cells = sequenced(spark, sf_dir).withColumn("rev", F.col("rev") != (F.col("mate") == 1))
         pos = F.when(F.col("rev"), F.col("len") - 1 - F.col("i")).otherwise(F.col("i"))
         return cells.select(
             F.col("g").alias("col"),
-            F.lit(0).alias("file_id"),
+            F.col("mate").alias("file_id"),
             (F.col("id") * RECORD_BYTES + 16 + pos).alias("pos"),
             F.lit(0).alias("gap"),
             F.col("b").alias("base"),
@@ -155,7 +171,8 @@ def genome_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the same reads in SQL -------------------------------------------------
 
 READS_SQL = """
-orders_n as (select greatest(cast(floor(count(*) * 10 / 3.0) as bigint), 400) g from orders),
+orders_n as (
+  select greatest(cast(floor(count(*) * 20 / 3.0) as bigint), 400) as g, (max(o_orderkey) + 1) * 256 as fb from orders),
 placed as (
   select id, id % 2 = 1 as rev, cast('0x' || substr(d, 1, 12) as bigint) % g as st,
          substr(d, 13, 1) <= '7' as hap, substr(d, 14, 1) as indel,
@@ -181,7 +198,7 @@ cells2 as (
   from cells1),
 cells as (
   select id, rev, mate, len, i, g,
-         case when substr(m, 3, 3) = '000' then 'N'
+         case when substr(m, 10, 3) = '000' or substr(m, 13, 3) = '000' or substr(m, 3, 3) = '000' then 'N'
               when substr(m, 1, 2) < '03' then translate(own, 'ACGT', 'CGTA') else own end as b,
          cast(case when substr(m, 3, 3) = '000' then 2 when substr(m, 1, 2) < '03' then 5
               else cast('0x' || substr(m, 6, 2) as bigint) % 30 + 10 end as integer) as q
@@ -190,16 +207,16 @@ packed as (
   select id, mate, rev <> (mate = 1) as rv,
          string_agg(b, '' order by i) as fs, string_agg(chr(q + 33), '' order by i) as fq
   from cells group by all),
-all_mates as (
-  select (id * 256 + 16) * 2048 + mate as read_id, mate as file_id, id * 256 as rec_offset,
-         id * 256 + 16 as seq_offset, '@order/' || id as name,
+reads as materialized (
+  select mate * fb + id * 256 + 16 as read_id, mate as file_id, id * 256 as rec_offset,
+         id * 256 + 16 as seq_offset, mate * fb + id * 256 + 16 as address, '@order/' || id as name,
          case when rv then reverse(translate(fs, 'ACGT', 'TGCA')) else fs end as seq,
          case when rv then reverse(fq) else fq end as qual
-  from packed),
-reads as (select * from all_mates where file_id = 0)"""
+  from packed, orders_n)"""
 
 COLUMNS_SQL = READS_SQL + """,
 genome_columns as (
-  select g as col, 0 as file_id, id * 256 + 16 + case when rev then len - 1 - i else i end as pos,
-         0 as gap, b as base, q as qual, case when rev then -1 else 1 end as strand
-  from cells where mate = 0)"""
+  select g as col, mate as file_id,
+         id * 256 + 16 + case when rev <> (mate = 1) then len - 1 - i else i end as pos,
+         0 as gap, b as base, q as qual, case when rev <> (mate = 1) then -1 else 1 end as strand
+  from cells)"""

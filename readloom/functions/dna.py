@@ -15,7 +15,8 @@ STRAND_BASES = "ACGT"
 COMPLEMENT_BASES = "TGCA"
 PHRED_OFFSET = 33
 
-# Width of the gap index in an address.
+# Widths of the byte position and of the gap index in an address: 62 bits together.
+POSITION_BITS = 51
 GAP_BITS = 11
 
 DEFAULT_K = 21
@@ -25,6 +26,14 @@ MAX_PACKED_K = 31
 _RANK_PATTERN = 0x2545F4914F6CDD1D
 
 
+def clean_bases(seq: Column) -> Column:
+    """Upper case, and N for every letter but A, C, G and T.
+
+    Soft-masked (lower-case) bases are bases; ambiguity codes and dots are not.
+    """
+    return F.regexp_replace(F.upper(seq), f"[^{STRAND_BASES}]", "N")
+
+
 def complement(base: Column) -> Column:
     """A<->T, C<->G; N and '-' stay."""
     return F.translate(base, STRAND_BASES, COMPLEMENT_BASES)
@@ -53,7 +62,8 @@ def reads_reversed(middle: Column) -> Column:
 def canonical_kmer(kmer: Column, k: int) -> Column:
     """Strand-neutral form: the strand whose middle base is A or C."""
     check_k(k)
-    return on_strand(kmer, reads_reversed(F.substring(kmer, k // 2 + 1, 1)))
+    clean = clean_bases(kmer)
+    return on_strand(clean, reads_reversed(F.substring(clean, k // 2 + 1, 1)))
 
 
 def as_digits(seq: Column) -> Column:
@@ -138,23 +148,21 @@ def trimmed_length(segment: Column) -> Column:
     return F.length(F.regexp_replace(once, r"(.)\1+$", "$1"))
 
 
-def node_key(file_id: Column, pos: Column, gap: Column) -> Column:
+def node_key(address: Column, gap: Column) -> Column:
     """Address of a base (or of a gap behind it) as one bigint below 2**62.
 
-    11 bits of file, 40 of byte position, 11 of gap index.
+    ``address`` is a byte position in the input files laid end to end, 51
+    bits; 11 bits of gap index. A value that doesn't fit is an error.
     """
-    return (
-        F.shiftleft(file_id.cast("bigint"), 51)
-        + F.shiftleft(pos.cast("bigint"), GAP_BITS)
-        + gap.cast("bigint")
-    )
+    fits = address.between(0, (1 << POSITION_BITS) - 1) & gap.between(0, (1 << GAP_BITS) - 1)
+    packed = F.shiftleft(address.cast("bigint"), GAP_BITS) + gap.cast("bigint")
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("a base address doesn't fit in 62 bits")).cast("bigint"))
 
 
 def node_address(node: Column) -> dict[str, Column]:
     """Inverse of :func:`node_key`."""
     return {
-        "file_id": F.shiftright(node, 51).cast("int"),
-        "pos": F.shiftright(node, GAP_BITS).bitwiseAND(F.lit((1 << 40) - 1)),
+        "address": F.shiftright(node, GAP_BITS),
         "gap": node.bitwiseAND(F.lit((1 << GAP_BITS) - 1)).cast("int"),
     }
 
@@ -170,8 +178,3 @@ def called_base(call: Column) -> Column:
 
 def called_quality(call: Column) -> Column:
     return F.shiftright(call, 7)
-
-
-def read_key(file_id: Column, seq_offset: Column) -> Column:
-    """Read id that sorts by sequence offset, then by file."""
-    return F.shiftleft(seq_offset.cast("bigint"), 11) + file_id.cast("bigint")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import LongType
 
 from readloom.functions.dna import ALPHABET, error_probability
 from readloom.functions.stats import QUANTILE_MASS, binomial_quantile
@@ -14,8 +16,8 @@ from readloom.functions.stats import QUANTILE_MASS, binomial_quantile
 # An N adds no quality to its column.
 NO_CALL = "N"
 GAP = "-"
-# Fixed value: deeper columns are tested by the binomial.
-EXACT_DEPTH = 1000
+# Terms of a binomial this many standard deviations (and so many steps) from its mode don't count in a double.
+_DEVIATIONS, _STEPS = 12.0, 20
 
 
 def base_tallies(members: DataFrame, by: list[str]) -> DataFrame:
@@ -121,49 +123,69 @@ def column_error_test(
     return error_test_of_profile(column_profile(members, by), by, cap, margin_fold, fold)
 
 
-def _quality_sum_quantile(quals: np.ndarray) -> int:
-    """Least t with P(sum of the qualities of wrong bases <= t) >= 0.9999, bases independent."""
-    mass = np.ones(1)
-    for q in np.sort(quals):
-        e = 10.0 ** (-q / 10.0)
-        grown = np.zeros(len(mass) + q)
-        grown[: len(mass)] += mass * (1 - e)
-        grown[q:] += mass * e
-        mass = grown
-    reached = np.nonzero(np.cumsum(mass) >= QUANTILE_MASS)[0]
-    return int(reached[0]) if len(reached) else len(mass) - 1
+def _wrong_bases(n: int, e: float) -> tuple[int, np.ndarray]:
+    """Distribution of the number of wrong ones among n bases, as (first number, probabilities) of a window."""
+    mode = min(int((n + 1) * e), n)
+    reach = math.ceil(_DEVIATIONS * math.sqrt(n * e * (1 - e))) + _STEPS
+    low, high = max(0, mode - reach), min(n, mode + reach)
+    if e >= 1:
+        return n, np.ones(1)
+    i = np.arange(low + 1, high + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(n - i + 1) - np.log(i) + math.log(e) - math.log1p(-e))])
+    terms = np.exp(logs - logs.max())
+    return low, terms / terms.sum()
+
 
+def _quality_sum_quantile(quals: np.ndarray, counts: np.ndarray) -> int:
+    """Least t with P(sum of the qualities of wrong bases <= t) >= 0.9999, bases independent.
 
-@F.pandas_udf(IntegerType())
-def _quantile_of(quals: pd.Series) -> pd.Series:
-    return quals.map(lambda q: _quality_sum_quantile(np.asarray(q, dtype=int)))
+    One binomial a quality; their windows, and so the memory, grow with the square root of the depth.
+    """
+    first, mass = 0, np.ones(1)
+    for q, n in zip(quals, counts):
+        if q == 0:  # adds nothing to the sum
+            continue
+        low, wrong = _wrong_bases(int(n), 10.0 ** (-q / 10.0))
+        grown = np.zeros(len(mass) + int(q) * (len(wrong) - 1))
+        for k, p in enumerate(wrong):
+            grown[k * q : k * q + len(mass)] += p * mass
+        first, mass = first + low * int(q), grown
+    reached = np.flatnonzero(np.cumsum(mass) >= QUANTILE_MASS)
+    return first + (int(reached[0]) if len(reached) else len(mass) - 1)
+
+
+@F.pandas_udf(LongType())
+def _quantile_of(quals: pd.Series, counts: pd.Series) -> pd.Series:
+    # no levels at all: a column of N
+    limits = [0 if q is None else _quality_sum_quantile(q, n) for q, n in zip(quals, counts)]
+    return pd.Series(limits, dtype="int64")
 
 
 def column_error_test_exact(members: DataFrame, by: list[str], cap: int | None = None) -> DataFrame:
     """(by, base, n, sum_q, is_error) by the exact distribution of the quality sum of a column.
 
     Bases are errors, lightest first, while their running quality sum stays
-    within its 0.9999 quantile; the ``cap`` lowest qualities of a base count.
-    Columns of more than EXACT_DEPTH bases take :func:`column_error_test`.
-
-    A column travels as a histogram of at most bases x qualities entries,
-    however deep it is, and Python sees only its array of qualities.
+    within its 0.9999 quantile. With ``cap`` only that many lowest qualities of
+    a base count. There is no limit on the depth of a column: it travels as a
+    histogram of at most bases x qualities entries.
     """
     histogram = members.groupBy(*by, "base", "qual").agg(F.count("*").alias("n"))
-    per_base = histogram.groupBy(*by, "base").agg(
-        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("qual", "n"))).alias("quals")
+    lowest = Window.partitionBy(*by, "base").orderBy("qual").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(lowest), F.lit(0))
+    kept = F.col("n") if cap is None else F.greatest(F.least(F.col("n"), cap - before), F.lit(0))
+    counted = histogram.withColumn("kept", kept).withColumn("called", F.col("base") != NO_CALL)
+    per_base = counted.groupBy(*by, "base").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("called"), F.col("qual") * F.col("kept")).otherwise(0)).alias("sum_q"),
     )
-    depth = per_base.withColumn("depth", F.sum("n").over(Window.partitionBy(*by)))
-    spread = F.flatten(F.transform("quals", lambda h: F.array_repeat(h["qual"], h["n"].cast("int"))))
-    kept = spread if cap is None else F.slice(spread, 1, cap)
-    small = depth.filter(F.col("depth") <= EXACT_DEPTH).withColumn("quals", kept)
-    total = F.aggregate("quals", F.lit(0).cast("bigint"), lambda acc, q: acc + q)
-    summed = small.withColumn("sum_q", F.when(F.col("base") == NO_CALL, F.lit(0)).otherwise(total))
-    tested = summed.groupBy(*by).agg(
-        F.flatten(F.collect_list(F.when(F.col("base") != NO_CALL, F.col("quals")))).alias("all"),
-        F.collect_list(F.struct("base", "n", "sum_q")).alias("votes"),
+    per_quality = counted.filter("called and kept > 0").groupBy(*by, "qual").agg(F.sum("kept").alias("kept"))
+    levels = per_quality.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("qual", "kept"))).alias("levels"))
+    votes = per_base.groupBy(*by).agg(F.collect_list(F.struct("base", "n", "sum_q")).alias("votes"))
+    rows = votes.join(levels, by, "left").select(
+        *by,
+        _quantile_of("levels.qual", "levels.kept").alias("limit"),
+        F.inline("votes"),
     )
-    rows = tested.withColumn("limit", _quantile_of("all")).select(*by, "limit", F.inline("votes"))
     lightest = Window.partitionBy(*by).orderBy("sum_q", "base")
     running = rows.withColumn(
         "running", F.sum("sum_q").over(lightest.rowsBetween(Window.unboundedPreceding, 0))
@@ -171,11 +193,7 @@ def column_error_test_exact(members: DataFrame, by: list[str], cap: int | None =
     exact = F.when(F.col("heaviest") > F.col("limit"), F.col("running") <= F.col("limit")).otherwise(
         F.col("sum_q") == 0
     )
-    deep = column_profile(members, by).filter(F.col("depth") > EXACT_DEPTH)
-    columns = [*by, "base", "n", "sum_q", "is_error"]
-    return running.withColumn("is_error", exact).select(*columns).unionByName(
-        error_test_of_profile(deep, by, cap, 0.0, 1.0).select(*columns)
-    )
+    return running.withColumn("is_error", exact).select(*by, "base", "n", "sum_q", "is_error")
 
 
 def weighted_consensus(df: DataFrame, by: list[str], value: str, weight: Column) -> DataFrame:

@@ -8,37 +8,64 @@ from pyspark.sql import functions as F
 from readloom.functions.dna import DEFAULT_K
 from readloom.operators.kmers import kmer_rows, read_keys
 
-# Fixed value: groups of this many coverages or more are repeats.
+# Groups of this many coverages or more are repeats, unless an operator is told otherwise.
 REPEAT_FOLD = 20
-# A key holding at least 1/HEAVY_SHARE of all rows is heavy. No table has more
-# than HEAVY_SHARE such keys, so a list of them can always be broadcast.
-HEAVY_SHARE = 10_000
 
 
-def in_size_band(n: Column, kmer_cov: int) -> Column:
-    return (n > 1) & (n < REPEAT_FOLD * kmer_cov)
+def in_size_band(n: Column, kmer_cov: int, max_fold: int = REPEAT_FOLD) -> Column:
+    return (n > 1) & (n < max_fold * kmer_cov)
 
 
-def group_sizes(counts: DataFrame, kmer_cov: int) -> DataFrame:
+def group_sizes(counts: DataFrame, kmer_cov: int, max_fold: int = REPEAT_FOLD) -> DataFrame:
     """(key, n) of the k-mers neither unique nor repeats; an occurrence counts, not a read."""
-    return counts.filter(in_size_band(F.col("n"), kmer_cov))
+    return counts.filter(in_size_band(F.col("n"), kmer_cov, max_fold))
 
 
-def light_rows(rows: DataFrame, counts: DataFrame, kmer_cov: int, n_occurrences: int) -> DataFrame:
+def outside_band(counts: DataFrame, kmer_cov: int, max_fold: int = REPEAT_FOLD) -> DataFrame:
+    """One row: how many k-mers the size band leaves out as unique or as repeats, and their occurrences."""
+    unique, repeat = F.col("n") <= 1, F.col("n") >= max_fold * kmer_cov
+    return counts.agg(
+        F.count_if(unique).alias("unique_keys"),
+        F.count_if(repeat).alias("repeat_keys"),
+        F.coalesce(F.sum(F.when(repeat, F.col("n"))), F.lit(0)).alias("repeat_rows"),
+    )
+
+
+def heavy_share(n_partitions: int) -> int:
+    """A key with at least 1/heavy_share of all rows is heavy.
+
+    There are at most that many such keys, whatever the data, so a list of
+    them can be broadcast (8 bytes each: 8 MB for 100,000 partitions). Every
+    other key is a tenth of a mean partition at most.
+    """
+    return 10 * max(1000, n_partitions)
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def light_rows(
+    rows: DataFrame, counts: DataFrame, kmer_cov: int, n_occurrences: int, max_fold: int = REPEAT_FOLD
+) -> DataFrame:
     """k-mer rows without those of repeats heavy enough to overload a task.
 
-    The dropped keys lie outside the size band and are at most HEAVY_SHARE,
-    whatever the data. Every key left is small against a partition.
+    The dropped keys lie outside the size band. Their number is bounded where
+    ``n_occurrences`` is the sum of ``counts``; the limit below makes it so
+    whatever the caller passes.
     """
-    heavy_from = max(REPEAT_FOLD * kmer_cov, n_occurrences // HEAVY_SHARE + 1)
-    heavy = counts.filter(F.col("n") >= heavy_from).select("key")
+    share = heavy_share(shuffle_partitions(rows))
+    heavy_from = max(max_fold * kmer_cov, n_occurrences // share + 1)
+    heavy = counts.filter(F.col("n") >= heavy_from).orderBy(F.desc("n")).limit(share).select("key")
     return rows.join(F.broadcast(heavy), "key", "left_anti")
 
 
-def banded_rows(rows: DataFrame, counts: DataFrame, kmer_cov: int, n_occurrences: int) -> DataFrame:
+def banded_rows(
+    rows: DataFrame, counts: DataFrame, kmer_cov: int, n_occurrences: int, max_fold: int = REPEAT_FOLD
+) -> DataFrame:
     """k-mer rows of the groups inside the size band."""
-    light = light_rows(rows, counts, kmer_cov, n_occurrences)
-    return light.join(group_sizes(counts, kmer_cov).select("key"), "key", "left_semi")
+    light = light_rows(rows, counts, kmer_cov, n_occurrences, max_fold)
+    return light.join(group_sizes(counts, kmer_cov, max_fold).select("key"), "key", "left_semi")
 
 
 def group_order() -> Window:
@@ -112,15 +139,20 @@ def minimal_links(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def nonredundant_groups(
-    reads: DataFrame, counts: DataFrame, kmer_cov: int, n_occurrences: int, k: int = DEFAULT_K
+    reads: DataFrame,
+    counts: DataFrame,
+    kmer_cov: int,
+    n_occurrences: int,
+    k: int = DEFAULT_K,
+    max_fold: int = REPEAT_FOLD,
 ) -> DataFrame:
     """Groups in which some consecutive pair is linked: (key, read_id, pos, rc, ord).
 
     The few groups kept are cut from the reads again rather than carried
     through the steps that find them.
     """
-    rows = light_rows(kmer_rows(reads, k), counts, kmer_cov, n_occurrences)
-    banded = rows.join(group_sizes(counts, kmer_cov).select("key"), "key", "left_semi")
+    rows = light_rows(kmer_rows(reads, k), counts, kmer_cov, n_occurrences, max_fold)
+    banded = rows.join(group_sizes(counts, kmer_cov, max_fold).select("key"), "key", "left_semi")
     kept = minimal_links(banded, read_keys(reads, k)).select("key").distinct()
     ordered = ordered_groups(rows.join(kept, "key", "left_semi"))
     return ordered.select("key", "read_id", "pos", "rc", "ord")

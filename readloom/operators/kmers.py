@@ -10,6 +10,7 @@ from readloom.functions.dna import (
     MAX_PACKED_K,
     as_digits,
     check_k,
+    clean_bases,
     digits_key,
     error_probability,
     kmer_key,
@@ -29,14 +30,15 @@ def _strands(reads: DataFrame, k: int, packed: bool) -> DataFrame:
     of the two strings.
     """
     letters = as_digits if packed else (lambda text: text)
+    clean = reads.select("read_id", clean_bases(F.col("seq")).alias("seq"), F.length("seq").alias("len"))
     bw = reverse_complement(F.col("seq"))
-    return reads.select(
-        "read_id", letters(F.col("seq")).alias("fw"), letters(bw).alias("bw"), F.length("seq").alias("len")
-    ).filter(F.col("len") >= check_k(k))
+    return clean.filter(F.col("len") >= check_k(k)).select(
+        "read_id", letters(F.col("seq")).alias("fw"), letters(bw).alias("bw"), "len"
+    )
 
 
 def _kmer_windows(reads: DataFrame, k: int, packed: bool) -> DataFrame:
-    """One row per k-mer without N: read_id, canonical k-mer, oriented pos, rc."""
+    """One row per k-mer over A, C, G, T: read_id, canonical k-mer, oriented pos, rc."""
     cut = _strands(reads, k, packed).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - k)))
     forward = F.substr("fw", F.col("i") + 1, F.lit(k))
     mirrored = F.col("len") - k - F.col("i")
@@ -82,7 +84,7 @@ def read_keys(reads: DataFrame, k: int = DEFAULT_K) -> DataFrame:
 
 
 def bases(reads: DataFrame) -> DataFrame:
-    """One row per base: (read_id, file_id, pos, i, base, qual)."""
+    """One row per base: (read_id, file_id, pos, i, base, qual), pos in its file."""
     cut = reads.select(
         "read_id",
         "file_id",

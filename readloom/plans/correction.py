@@ -7,10 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from readloom.functions.dna import DEFAULT_K
-from readloom.operators.align import CUT_THRESHOLD, MAX_INDEL, anchored_alignment, cluster_fingerprints
 from readloom.operators.correct import call_corrections, edge_nodes, position_members
 from readloom.operators.graph import signed_components
-from readloom.operators.groups import nonredundant_groups
+from readloom.operators.groups import REPEAT_FOLD, nonredundant_groups
 from readloom.operators.kmers import kmer_counts, read_keys
 from readloom.operators.pileup import (
     agreeing_reads,
@@ -21,6 +20,7 @@ from readloom.operators.pileup import (
     polymorphic_columns,
     read_fingerprints,
 )
+from readloom.operators.prints import CUT_THRESHOLD, cluster_fingerprints
 from readloom.plans.spectrum import Coverage, coverage
 from readloom.session import materialize
 
@@ -36,20 +36,21 @@ class Prepared:
     groups: DataFrame
 
 
-def prepare(reads: DataFrame, k: int = DEFAULT_K) -> Prepared:
+def prepare(reads: DataFrame, k: int = DEFAULT_K, max_fold: int = REPEAT_FOLD) -> Prepared:
     """Count k-mers, read off the coverage, find the non-redundant groups."""
     counts = materialize(kmer_counts(reads, k), "counts")
     cover = coverage(counts)
-    groups = nonredundant_groups(reads, counts, cover.kmer_cov, cover.n_occurrences, k)
+    groups = nonredundant_groups(reads, counts, cover.kmer_cov, cover.n_occurrences, k, max_fold)
     return Prepared(reads, k, counts, cover, materialize(groups, "groups"))
 
 
-def ungapped_clusters(prepared: Prepared) -> DataFrame:
-    """Aligned reads (no indels) with the cluster of equal fingerprints."""
+def clusters(prepared: Prepared, cut: int | None = CUT_THRESHOLD) -> DataFrame:
+    """Aligned reads with the cluster of compatible fingerprints, or of equal ones where ``cut`` is None."""
     aligned = materialize(agreeing_reads(anchored_reads(prepared.groups, prepared.reads)), "agreeing")
     aligned = by_alignment(aligned)
     marks = polymorphic_columns(aligned, prepared.coverage.kmer_cov)
-    return equal_print_clusters(read_fingerprints(aligned, marks))
+    prints = read_fingerprints(aligned, marks)
+    return equal_print_clusters(prints) if cut is None else cluster_fingerprints(prints, cut)
 
 
 def members_of(prepared: Prepared, clustered: DataFrame) -> DataFrame:
@@ -60,25 +61,10 @@ def members_of(prepared: Prepared, clustered: DataFrame) -> DataFrame:
     return position_members(labels, edge_nodes(edges))
 
 
-def ungapped_corrections(reads: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """Corrections of substitutions, all in native expressions."""
-    prepared = prepare(reads, k)
-    members = members_of(prepared, ungapped_clusters(prepared))
-    return call_corrections(members, prepared.coverage.kmer_cov)
-
-
-def gapped_clusters(prepared: Prepared, band: int = MAX_INDEL, cut: int = CUT_THRESHOLD) -> DataFrame:
-    """Aligned reads (with indels) with the cluster of compatible fingerprints."""
-    aligned = materialize(anchored_alignment(prepared.groups, prepared.reads, prepared.k, band), "aligned")
-    aligned = by_alignment(aligned)
-    marks = polymorphic_columns(aligned, prepared.coverage.kmer_cov)
-    return cluster_fingerprints(read_fingerprints(aligned, marks), cut)
-
-
 def correct_reads(
-    reads: DataFrame, k: int = DEFAULT_K, band: int = MAX_INDEL, cut: int = CUT_THRESHOLD
+    reads: DataFrame, k: int = DEFAULT_K, cut: int | None = CUT_THRESHOLD, max_fold: int = REPEAT_FOLD
 ) -> DataFrame:
-    """Corrections (file_id, pos, gap, base, qual) of substitutions and indels."""
-    prepared = prepare(reads, k)
-    members = members_of(prepared, gapped_clusters(prepared, band, cut))
+    """Corrections (address, gap, base, qual) of substitutions."""
+    prepared = prepare(reads, k, max_fold)
+    members = members_of(prepared, clusters(prepared, cut))
     return call_corrections(members, prepared.coverage.kmer_cov)

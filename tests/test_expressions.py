@@ -1,8 +1,12 @@
+import math
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import dna
 from readloom.functions.stats import binomial_quantile
+from readloom.operators import kmers
 
 
 def _one(spark, column):
@@ -33,10 +37,10 @@ def test_even_k_is_refused():
 
 
 def test_address_round_trip(spark):
-    node = dna.node_key(F.lit(1023), F.lit((1 << 40) - 1), F.lit(2047))
-    address = dna.node_address(node)
-    assert _one(spark, node) < 1 << 62
-    assert [_one(spark, c) for c in address.values()] == [1023, (1 << 40) - 1, 2047]
+    for at, gap in (((1 << 51) - 1, 2047), ((1 << 40) + 5, 0), (0, 1)):
+        node = dna.node_key(F.lit(at), F.lit(gap))
+        assert _one(spark, node) < 1 << 62
+        assert [_one(spark, c) for c in dna.node_address(node).values()] == [at, gap]
 
 
 def test_trimmed_length(spark):
@@ -48,20 +52,41 @@ def test_binomial_quantile_goldens(spark):
     for n, p, want in [(30, 0.99, 3.580949203161968), (2, 0.9, 1.99), (3, 0.999999, -32.33339899915792)]:
         assert abs(_one(spark, binomial_quantile(F.lit(n), F.lit(p))) - want) < 1e-9
     assert _one(spark, binomial_quantile(F.lit(3), F.lit(0.0))) is None
-    # A billion trials underflow to 0 in the recurrence, and take no billion steps.
-    assert _one(spark, binomial_quantile(F.lit(1_000_000_000), F.lit(0.99))) == 0.0
-
-
-def test_quantile_steps_are_enough(spark):
-    def slow(n, p):
-        cur = cdf = p**n
-        for i in range(1, n + 1):
-            cur = cur * (n + 1 - i) / i * (1 - p) / p
-            cdf += cur
-            if cdf > 0.9999:
-                return i - (cdf - 0.9999) / cur
-        return 0.0
-
-    for n, p in [(7000, 0.9), (5000, 0.9), (60_000, 0.99), (800, 0.5), (1500, 0.6)]:
-        got = _one(spark, binomial_quantile(F.lit(n), F.lit(p)))
-        assert abs(got - slow(n, p)) < 1e-6
+    # However deep the column: a normal distribution, one step off at most.
+    for n, p in [(74_000, 0.99), (1_000_000, 0.999), (30_000_000, 0.99)]:
+        want = n * (1 - p) + 3.719 * math.sqrt(n * p * (1 - p))
+        assert abs(_one(spark, binomial_quantile(F.lit(n), F.lit(p))) - want) < 0.02 * (want - n * (1 - p)) + 2
+
+
+def _exact(n, p):
+    """By fractions: binomial coefficients are integers."""
+    q, p, total = 1 - Fraction(p), Fraction(p), Fraction(0)
+    for i in range(n + 1):
+        term = math.comb(n, i) * q**i * p ** (n - i)
+        total += term
+        if i and total > Fraction(9999, 10000):
+            return float(i - (total - Fraction(9999, 10000)) / term)
+
+
+def test_quantile_against_fractions(spark):
+    for n, p in [(1, 0.5), (7, 0.25), (40, 0.9990234375), (300, 0.5), (200, 0.0078125), (64, 0.984375), (33, 2.0**-30)]:
+        assert abs(_one(spark, binomial_quantile(F.lit(n), F.lit(p))) - _exact(n, p)) < 1e-6, (n, p)
+
+
+@pytest.mark.parametrize("k", [5, 21, 33])
+def test_kmers_of_other_letters(spark, k):
+    """Lower case counts as upper case; k-mers over anything but A, C, G, T are none."""
+    text = ("ACGTTGCA" * 9)[: k + 3]
+    rows = [(1, text), (2, text.lower()), (3, text[:2] + "R" + text[3:]), (4, "." * len(text)), (5, text + "n")]
+    reads = spark.createDataFrame(rows, "read_id bigint, seq string")
+    got = {}
+    for r in kmers.kmers(reads, k).collect():
+        assert set(r.kmer) <= set("ACGT")
+        got.setdefault(r.read_id, []).append((r.kmer, r.pos, r.rc))
+    assert sorted(got[1]) == sorted(got[2]) and len(got[1]) == 4 and len(got[3]) == 1 and 4 not in got and len(got[5]) == 4
+    keys = {r.read_id: sorted(r["keys"]) for r in kmers.read_keys(reads, k).collect()}
+    assert keys[1] == keys[2] and len(keys[3]) == 1 and keys[4] == []
+    counts = kmers.with_kmer_text(kmers.kmer_counts(reads, k), k).collect()
+    assert sum(r.n for r in counts) == sum(map(len, got.values())) and all(len(r.kmer) == k for r in counts)
+    canonical = spark.createDataFrame([("acgta",), ("TACGT",)], "s string").select(dna.canonical_kmer(F.col("s"), 5))
+    assert canonical.distinct().count() == 1

@@ -86,6 +86,33 @@ def test_hot_kmer_leaves_the_other_groups_whole(spark):
     assert got.exceptAll(want).isEmpty()
 
 
+def test_heavy_share_follows_the_partitions(spark):
+    """With 100,000 partitions a key of a twenty-thousandth of the rows is heavy; what stays is small against one."""
+    assert 10 * 8 <= groups.heavy_share(8) and groups.heavy_share(100_000) == 1_000_000
+    counts = spark.createDataFrame([(1, 50_000), (2, 40), (3, 10**9 - 50_040)], "key bigint, n bigint")
+    rows = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "key bigint, read_id bigint")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100000")
+    try:
+        plan = groups.light_rows(rows, counts, 2, 10**9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r.key for r in plan.collect()] == [2]
+
+
+def test_fold_of_repeats_is_an_argument(spark):
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([1, 2, 5, 60, 61, 400])], "key bigint, n bigint")
+    assert sorted(r.n for r in groups.group_sizes(counts, 3).collect()) == [2, 5]
+    assert sorted(r.n for r in groups.group_sizes(counts, 3, max_fold=100).collect()) == [2, 5, 60, 61]
+    assert tuple(groups.outside_band(counts, 3).first()) == (1, 3, 521)
+
+
+def test_short_repeats_can_be_left_out(spark):
+    frame = spark.createDataFrame([("p", "AAAAAXCGTAC", "AAAAAYCGTAC")], "pair_id string, template string, pattern string")
+    assert overlap.exact_segments(frame, 4).count() == 2
+    assert [r.p_start for r in overlap.exact_segments(frame, 4, min_trimmed=3).collect()] == [6]
+
+
 def test_exact_segments_are_unique_and_maximal(spark):
     pairs = [
         ("same", "ACGTTGCAAC", "ACGTTGCAAC"),
