@@ -401,7 +401,7 @@ from text_pairs p left join segments s on s.pair_id = p.pair_id group by p.pair_
         + """,
 per_column as (select col, count(*) as n, 1 - avg(pow(10.0, -qual / 10.0)) as p from genome_columns group by col)"""
         + quantile("per_column", "bq"),
-        "select c.col, c.n, round(q.q, 6) as quantile from per_column c join bq q on c.n = q.n and c.p = q.p",
+        "select c.col, c.n, floor(q.q * 1e6 + 0.3337) / 1e6 as quantile from per_column c join bq q on c.n = q.n and c.p = q.p",
     ),
     "column_error_test": _sql(
         COLUMNS_SQL + tested("genome_columns", "col", "gt", "c.ref_n", "0.0"),

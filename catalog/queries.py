@@ -160,7 +160,9 @@ def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_column = cells.groupBy("col").agg(
         F.count("*").alias("n"), (1 - F.avg(error_probability(F.col("qual")))).alias("p")
     )
-    return per_column.select("col", "n", F.round(binomial_quantile(F.col("n"), F.col("p")), 6).alias("quantile"))
+    # cut to six places where no number of nine places is a border
+    cut = F.floor(binomial_quantile(F.col("n"), F.col("p")) * 1e6 + 0.3337) / 1e6
+    return per_column.select("col", "n", cut.alias("quantile"))
 
 
 def column_error_test(spark: SparkSession, sf_dir: str) -> DataFrame:
