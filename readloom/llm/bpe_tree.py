@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import by_size, text_or_empty, tokenizer, tokenizer_json
+from readloom.llm.common import by_size, small_batches, text_or_empty, tokenizer, tokenizer_json
 
 LEAF = 1 << 15
 #: Longer than any look-ahead of the word pattern and any special token.
@@ -123,7 +123,7 @@ def join_all(encoder, parts: list):
 
 #: Ids and decoded text of the parts met, by vocabulary; what a worker remembers between batches.
 _parts: dict[str, dict] = {}
-_MOST_PARTS = 300_000
+_MOST_PARTS = 200_000
 
 
 _BEFORE_MARK = re.compile(rb"(?<=[a-z])(?=[,.;:!?])")
@@ -176,6 +176,7 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     a shuffle deals out, one row a leaf; a text's leaves meet again in one task, which holds no more than that text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(tokenizer_json(path))
     rest = [c for c in docs.columns if c != "text"]
     keyed = docs.withColumn("__text", text_or_empty()).drop("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
+from readloom.llm.common import discard, materialize
 
 _MOST_ROUNDS = 60
 
@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large-star")
+        discard(edges)  # its successor is written
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(least, "a")
@@ -45,6 +46,7 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = materialize(small, "small-star")
+        discard(large)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("least")).unionByName(

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
+from readloom.llm.common import materialize, small_batches
 
 LENGTHS = (4, 3, 2, 1)
 MAX_ROWS = 4000
@@ -30,7 +30,7 @@ MAX_ENTRIES = 20_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _STRETCH = 1 << 20
-_CELLS = 1 << 22
+_CELLS = 1 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -77,6 +77,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIE
             rows = [(lang, n, g, k) for lang, of in held.items() for (n, g), k in of.items()]
             yield pd.DataFrame(rows, columns=["lang", "n", "gram", "k"])
 
+    small_batches(docs.sparkSession)
     words = materialize(
         training_rows(docs, max_rows)
         .mapInPandas(words_counted, "lang string, gram string, k long")
@@ -167,6 +168,7 @@ def _stretches(text: str):
 
 def predictor(spark: SparkSession, model):
     """A column function: text -> (lang_pred, score)."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     held = {}
 

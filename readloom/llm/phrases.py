@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import by_size, text_or_empty
+from readloom.llm.common import by_size, small_batches, text_or_empty
 
 FIRST = 2
 MOST_LEVELS = 24
@@ -230,6 +230,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     are all that the driver sees.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id").filter("doc_id is not null").repartitionByRange(n, "doc_id")

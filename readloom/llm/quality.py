@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.llm.common import small_batches
+
 BITS = 18
 MAX_ROWS = 8000
 #: Step size, its smoothing, and the penalties on the sum of weights and of their squares.
@@ -33,7 +35,7 @@ _WORD = re.compile(r"\w+|[^\w\s]+")
 _PAIR, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - BITS)
 _SAME = np.uint64(0)
-_MOST_WORDS_KEPT = 500_000
+_MOST_WORDS_KEPT = 200_000
 _STRETCH = 1 << 20
 
 
@@ -131,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
         w, bias = train_ftrl(rows)
         yield pd.DataFrame({"w": [w.tobytes()], "bias": [bias]})
 
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, max_rows).mapInPandas(featured, "h long, label int, places binary")
     # ids that repeat among the documents must not raise the bound
     rows = rows.limit(max_rows).repartition(1).sortWithinPartitions("h", "label", "places")
@@ -142,6 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
 
 def scorer(spark: SparkSession, model: tuple[np.ndarray, float]):
     """A column function: text -> probability of label 1."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize, text_or_empty
+from readloom.llm.common import materialize, small_batches, text_or_empty
 from readloom.llm.components import components
 
 SEED = 42
@@ -59,6 +59,7 @@ def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and its fingerprint, a signed 64-bit number."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:

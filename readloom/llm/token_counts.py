@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import by_size, text_or_empty, tokenizer, tokenizer_json
+from readloom.llm.common import by_size, small_batches, text_or_empty, tokenizer, tokenizer_json
 
 PIECE = 1 << 16
 _BATCH = 1 << 20
@@ -57,6 +57,7 @@ def version_of(vocabulary: str) -> str:
 
 
 def _counter(spark: SparkSession, vocabulary: str):
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("long")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
+from readloom.llm.common import materialize, small_batches
 
 CHUNK = 1 << 16
 VERSION = b"WARC/1.1"
@@ -118,6 +118,7 @@ def write_record(out, page_id, url, html: str, size: int, digest: str, first) ->
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Archives of all pages (page_id, url, html) under ``folder``; the list of files written: archive, records."""
+    small_batches(pages.sparkSession)
     known = roles(pages, least)
     ready = known.select(
         F.col("page_id").cast("string"), "url", "bytes", base32_of_hex(F.col("digest")).alias("digest"),
