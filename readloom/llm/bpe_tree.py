@@ -121,9 +121,30 @@ def join_all(encoder, parts: list):
     return parts[0]
 
 
-#: Ids and decoded text of the parts met, by vocabulary; what a worker remembers between batches.
-_parts: dict[str, dict] = {}
-_MOST_PARTS = 200_000
+_MOST_PARTS = 300_000
+
+
+class Parts:
+    """Ids and decoded text of the parts met; what a worker remembers between batches.
+
+    Two generations: when the young one is full it becomes the old one, and what is still in use moves back.
+    """
+
+    def __init__(self):
+        self.young: dict[bytes, tuple[bytes, str]] = {}
+        self.old: dict[bytes, tuple[bytes, str]] = {}
+
+    def missing(self, wanted: set[bytes]) -> list[bytes]:
+        """Those never met or forgotten; all others are in the young generation afterwards."""
+        if len(self.young) > _MOST_PARTS // 2:
+            self.young, self.old = {}, self.young
+        wanted = wanted.difference(self.young)
+        kept = wanted.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in kept)
+        return list(wanted.difference(kept))
+
+
+_parts: dict[str, Parts] = {}
 
 
 _BEFORE_MARK = re.compile(rb"(?<=[a-z])(?=[,.;:!?])")
@@ -152,18 +173,16 @@ def _encode_each(encoder, words: list[str]) -> list[np.ndarray]:
     return out
 
 
-def encode_by_parts(encoder, texts: list[str], parts: dict) -> list[tuple[int, bytes, str]]:
+def encode_by_parts(encoder, texts: list[str], parts: Parts) -> list[tuple[int, bytes, str]]:
     """(number of tokens, ids, decoded text) of each text, put together from its parts."""
     split = [parts_of(text) for text in texts]
-    if len(parts) > _MOST_PARTS:
-        parts.clear()
-    new = list(set().union(*split).difference(parts))
+    new = parts.missing(set().union(*split))
     ids = _encode_each(encoder, [p.decode("utf-8", "surrogatepass") for p in new])
     decoded = encoder.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
-    parts.update((p, (i.tobytes(), d)) for p, i, d in zip(new, ids, decoded, strict=True))
-    rows = []
+    parts.young.update((p, (i.tobytes(), d)) for p, i, d in zip(new, ids, decoded, strict=True))
+    rows, known = [], parts.young
     for own in split:
-        found = [parts[p] for p in own]
+        found = [known[p] for p in own]
         packed = b"".join([i for i, _ in found])
         rows.append((len(packed) // 4, packed, " ".join([d for i, d in found if i])))
     return rows
@@ -184,7 +203,7 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids binary, decoded string")
     def whole(texts: pd.Series) -> pd.DataFrame:
         encoder, rows = tokenizer(sent.value), []
-        parts = _parts.setdefault(sent.value, {})
+        parts = _parts.setdefault(sent.value, Parts())
         for run in by_size(texts, _BATCH):
             rows += encode_by_parts(encoder, run, parts)
         return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])

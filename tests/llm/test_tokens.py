@@ -64,6 +64,19 @@ def test_tree_against_library(spark):
         assert got.decoded_sha256.tolist() == [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
 
 
+def test_parts_are_forgotten_and_met_again(monkeypatch):
+    monkeypatch.setattr(bpe_tree, "_MOST_PARTS", 6)
+    encoder, parts, rng = Tokenizer.from_file(WORDS), bpe_tree.Parts(), random.Random(1)
+    words = ["Don't,", "a.b", "€,", "ÀB!", "<|endoftext|>", "x1y22", "i\u0307.", "\u00a0", "The", "the."]
+    for _ in range(40):
+        texts = [" ".join(rng.choices(words, k=rng.randrange(5))) for _ in range(3)]
+        got = bpe_tree.encode_by_parts(encoder, texts, parts)
+        want = [encoder.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(i, "<u4").tolist() for _, i, _ in got] == want
+        assert [d for *_, d in got] == [encoder.decode(w, skip_special_tokens=False) for w in want]
+        assert len(parts.young) + len(parts.old) < 30
+
+
 def test_tree_keeps_rows(spark):
     df = spark.createDataFrame([(1, "long " * 90), (1, "long " * 90), (None, "b " * 300), (None, None)], "doc_id long, text string")
     got = bpe_tree.encode_documents(spark, df, WORDS, 128).toPandas()
