@@ -21,7 +21,6 @@ Nulls: a null text counts as empty; it gives no tokens. Repeated rows each get t
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -37,6 +36,8 @@ MARGIN = 32
 WINDOW = 64
 _BATCH = 1 << 20
 _NEAR = 4096
+#: Leaves sent back at once; with their tokens' places they have some ten bytes a character.
+_LEAVES_TOGETHER = 8
 _ASCII = re.compile(r"[\x00-\x7f]")
 _PIECES = "key long, n_leaves int, leaf int, piece string"
 _ENCODED = _PIECES + ", ids binary, spans binary"
@@ -121,7 +122,7 @@ def join_all(encoder, parts: list):
     return parts[0]
 
 
-_MOST_PARTS = 300_000
+_MOST_PARTS = 120_000
 
 
 class Parts:
@@ -147,6 +148,11 @@ class Parts:
 _parts: dict[str, Parts] = {}
 
 
+def remembered(vocabulary: str) -> Parts:
+    """This worker's parts; asked of the module, since a task's own functions come with copies of what they name."""
+    return _parts.setdefault(vocabulary, Parts())
+
+
 _BEFORE_MARK = re.compile(rb"(?<=[a-z])(?=[,.;:!?])")
 _TOGETHER = 2000
 
@@ -203,7 +209,7 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids binary, decoded string")
     def whole(texts: pd.Series) -> pd.DataFrame:
         encoder, rows = tokenizer(sent.value), []
-        parts = _parts.setdefault(sent.value, Parts())
+        parts = remembered(sent.value)
         for run in by_size(texts, _BATCH):
             rows += encode_by_parts(encoder, run, parts)
         return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
@@ -221,13 +227,17 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     def encode_leaves(batches):
         encoder = tokenizer(sent.value)
         for b in batches:
-            made = [encode(encoder, p) for p in b.piece]
-            yield b.assign(ids=[i.tobytes() for i, _ in made], spans=[s.tobytes() for _, s in made])
+            for start in range(0, len(b), _LEAVES_TOGETHER):
+                part = b.iloc[start : start + _LEAVES_TOGETHER]
+                made = [encode(encoder, p) for p in part.piece]
+                yield part.assign(
+                    ids=[i.tobytes() for i, _ in made], spans=[s.astype(np.int32).tobytes() for _, s in made]
+                )
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         encoder, group = tokenizer(sent.value), group.sort_values("leaf")
         parts = [
-            (p, np.frombuffer(i, np.uint32), np.frombuffer(s, np.int64).reshape(-1, 2))
+            (p, np.frombuffer(i, np.uint32), np.frombuffer(s, np.int32).astype(np.int64).reshape(-1, 2))
             for p, i, s in zip(group.piece, group.ids, group.spans, strict=True)
         ]
         ids = join_all(encoder, parts)[1]

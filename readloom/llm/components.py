@@ -38,13 +38,8 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(large, "large-star")
         discard(edges)  # its successor is written
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(least, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .filter("a <> b")
-            .distinct()
-        )
+        both_ends = F.explode(F.array("a", "b")).alias("a")  # each hangs on the least of them
+        small = large.join(least, "a").select(both_ends, F.col("m").alias("b")).filter("a <> b").distinct()
         edges = materialize(small, "small-star")
         discard(large)
     else:

@@ -30,7 +30,7 @@ MAX_ENTRIES = 20_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _STRETCH = 1 << 20
-_CELLS = 1 << 20
+_CELLS = 1 << 19
 
 
 def words_of(text: str) -> list[str]:

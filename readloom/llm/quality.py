@@ -35,7 +35,7 @@ _WORD = re.compile(r"\w+|[^\w\s]+")
 _PAIR, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - BITS)
 _SAME = np.uint64(0)
-_MOST_WORDS_KEPT = 200_000
+_MOST_WORDS_KEPT = 100_000
 _STRETCH = 1 << 20
 
 
