@@ -11,7 +11,7 @@ back, so from a common word end on both scans are one; and inside a word a merge
 neighbouring tokens are, and these are pairs of one of the encodings.
 
 Short texts are split at ASCII white space, which the vocabulary's normaliser and word pattern drop and never look
-across, and a part is encoded and decoded once for as long as a worker remembers it. Decoded tokens are joined by
+across, and a part is encoded and decoded once for as long as a task remembers it. Decoded tokens are joined by
 spaces, so the parts' decodings are as well.
 
 Cuts fall before an ASCII character where there is one nearby, so composing normalisation doesn't cross them.
@@ -122,11 +122,11 @@ def join_all(encoder, parts: list):
     return parts[0]
 
 
-_MOST_PARTS = 120_000
+_MOST_PARTS = 300_000
 
 
 class Parts:
-    """Ids and decoded text of the parts met; what a worker remembers between batches.
+    """Ids and decoded text of the parts met; what a task remembers between batches.
 
     Two generations: when the young one is full it becomes the old one, and what is still in use moves back.
     """
@@ -145,14 +145,6 @@ class Parts:
         return list(wanted.difference(kept))
 
 
-_parts: dict[str, Parts] = {}
-
-
-def remembered(vocabulary: str) -> Parts:
-    """This worker's parts; asked of the module, since a task's own functions come with copies of what they name."""
-    return _parts.setdefault(vocabulary, Parts())
-
-
 _BEFORE_MARK = re.compile(rb"(?<=[a-z])(?=[,.;:!?])")
 _TOGETHER = 2000
 
@@ -205,11 +197,12 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     sent = spark.sparkContext.broadcast(tokenizer_json(path))
     rest = [c for c in docs.columns if c != "text"]
     keyed = docs.withColumn("__text", text_or_empty()).drop("text")
+    held: dict[str, Parts] = {}  # a task gets its own copy with the function, and its memory ends with it
 
     @F.pandas_udf("n_tokens long, ids binary, decoded string")
     def whole(texts: pd.Series) -> pd.DataFrame:
         encoder, rows = tokenizer(sent.value), []
-        parts = remembered(sent.value)
+        parts = held.setdefault("parts", Parts())
         for run in by_size(texts, _BATCH):
             rows += encode_by_parts(encoder, run, parts)
         return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
