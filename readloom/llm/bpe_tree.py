@@ -145,19 +145,22 @@ class Parts:
         return list(wanted.difference(kept))
 
 
-_BEFORE_MARK = re.compile(rb"(?<=[a-z])(?=[,.;:!?])")
+_BEFORE_MARK = re.compile(rb"(?<=[A-Za-z])(?=[,.;:!?])")
 _TOGETHER = 2000
 
 
 def parts_of(text: str) -> list[bytes]:
-    """The text cut at ASCII white space and between a letter and a mark; A-Z lowered where no special token is near.
+    """The text cut at ASCII white space and between a letter and a mark; ASCII parts lowered where no special token is near.
 
-    All of these are word ends to the vocabulary, which lowers letters itself.
+    All of these are word ends to the vocabulary, which lowers letters itself, but only after composing them: a capital
+    may have no composed form where its small letter has one, so a part with other than ASCII letters stays as it is.
     """
     packed = text.encode("utf-8", "surrogatepass")
-    if b"<|" not in packed:
-        packed = packed.lower()
-    return _BEFORE_MARK.sub(b" ", packed).split()
+    if b"<|" in packed:
+        return _BEFORE_MARK.sub(b" ", packed).split()
+    if packed.isascii():
+        return _BEFORE_MARK.sub(b" ", packed.lower()).split()
+    return [p.lower() if p.isascii() else p for p in _BEFORE_MARK.sub(b" ", packed).split()]
 
 
 def _encode_each(encoder, words: list[str]) -> list[np.ndarray]:

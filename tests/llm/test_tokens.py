@@ -13,6 +13,8 @@ BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_b
 TEXTS = [
     "", None, "a", "Hello  world\n\n it's 3<|endoftext|> x", "é́́ ﬁ Σς ΑΣ", "\u1100\u1161\u11a8" * 40, "🙂🙃" * 300, " \n\t ",
     "don't we'll 'S <|startoftext|>abc<|endoftext|>", "x" * 5000, "lorem ipsum " * 700, "ab12!?" * 900, "ß\u0130I\u0307 " * 200,
+    # capitals without a composed form, which their small letters have
+    "H\u0331asan " * 20, "T\u0308an. " * 20, "xW\u030Aan " * 20, "Y\u030Aan, " * 20, "J\u030Can Abc " * 20,
 ]
 SCHEMA = "doc_id long, text string, n_tokens string, key int, digest string"
 
