@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import by_size, small_batches, text_or_empty, tokenizer, tokenizer_json
+from readloom.llm.common import by_size, materialize, small_batches, text_or_empty, tokenizer, tokenizer_json
 
 LEAF = 1 << 15
 #: Longer than any look-ahead of the word pattern and any special token.
@@ -244,8 +244,8 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     is_long = F.length("__text") > leaf
     short = keyed.filter(~is_long).withColumn("__made", whole("__text"))
     short = short.select(*rest, "__made.n_tokens", "__made.ids", "__made.decoded")
-    # the same scan in both uses: ids depend on the place in a file only
-    longs = keyed.withColumn("__key", F.monotonically_increasing_id()).filter(is_long)
+    # written with their keys, which another scan could number otherwise
+    longs = materialize(keyed.filter(is_long).withColumn("__key", F.monotonically_increasing_id()), "long-texts")
     pieces = longs.select(F.col("__key").alias("key"), F.col("__text").alias("text")).mapInPandas(cut, _PIECES)
     # a set number of parts: adaptive execution would size them by bytes and not by work
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

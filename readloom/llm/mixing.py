@@ -169,14 +169,14 @@ def _copies_of_pairs(pairs: DataFrame, solved: DataFrame, most: int) -> DataFram
     return rounded.select("source", "size", "n", "copies", "rate", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, row: str | None = None) -> DataFrame:
     """row, doc_id, source, size, source_size, target, rate, copies, taken for each row of ``docs`` (doc_id, text, source).
 
-    ``row`` numbers the rows of the scan, the same in every run over the same files.
+    ``row`` is the column of that name, which numbers the rows. Without one they are numbered in the scan; another scan
+    may number them otherwise, so what is to be joined back needs a column that is written.
     """
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size")).withColumn(
-        "row", F.monotonically_increasing_id()
-    )
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), number.alias("row"))
     order = F.xxhash64("doc_id", "row")
     sized = materialize(sized.withColumn("order", order), "mix-sizes")
     pairs = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-pairs")

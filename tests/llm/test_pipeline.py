@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from readloom.llm import simhash
+from readloom.llm import bpe_tree, simhash
 from readloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +66,56 @@ def test_empty(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+@pytest.fixture
+def repacked(spark, tmp_path, monkeypatch):
+    """A folder of many files, and a way to make later scans pack them otherwise."""
+    key = "spark.sql.files.minPartitionNum"
+    text = lambda i: " ".join(f"{i}Wort{k}" for k in range(6000 if i % 5 == 0 else 20 + i % 7))
+    rows = [(i, text(i), "de", "ab"[i % 2], i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(12).write.parquet(f"{tmp_path}/d")
+    spark.conf.set(key, "1")
+    yield spark.read.parquet(f"{tmp_path}/d"), lambda: spark.conf.set(key, "12")
+    spark.conf.unset(key)
+
+
+def test_mix_joins_rows_by_written_numbers(spark, repacked, monkeypatch):
+    docs, repack = repacked
+    mix, taken = corpus_pipeline.mixing.mix, {}
+
+    def then_repack(*args, **named):
+        made = mix(*args, **named).persist()
+        taken.update({r.doc_id: r.copies for r in made.collect() if r.copies})
+        repack()
+        return made
+
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix", then_repack)
+    got = corpus_pipeline.mixed_sources(spark, docs, SF).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == taken
+
+
+def test_near_dedup_joins_rows_by_written_numbers(spark, repacked, monkeypatch):
+    docs, repack = repacked
+    module = getattr(corpus_pipeline, "minhash", None) or corpus_pipeline.simhash
+    near_copies, firsts = module.near_copies, set()
+
+    def then_repack(*args):
+        made = near_copies(*args).persist()
+        firsts.update(r.component_id.doc_id for r in made.collect())
+        repack()
+        return made
+
+    monkeypatch.setattr(module, "near_copies", then_repack)
+    kept = corpus_pipeline.without_near_copies(spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == firsts
+
+
+def test_long_texts_join_by_written_keys(repacked):
+    docs, repack = repacked
+    made = bpe_tree.encode_decode(docs, corpus_pipeline.vocabulary("word_bpe_49k.json"), 1 << 15)
+    repack()
+    assert sorted(r.doc_id for r in made.collect()) == list(range(60))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan
