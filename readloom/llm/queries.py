@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe_tree, langid, mixing, phrases, quality, simhash, token_counts, topk, urlfilter, warc
+from readloom.llm import bpe_tree, langid, merkle, mixing, phrases, quality, simhash, token_counts, topk, urlfilter, warc
 from readloom.llm.common import shared_folder, table
 
 #: host, path, verdict
@@ -88,6 +88,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_fingerprints": op2_fingerprints,
@@ -99,11 +103,71 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "op13_merkle": op13_merkle,
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+
+def _merkle_sql(levels: int = 6, top_levels: int = 4) -> str:
+    """Trees of up to 16 ** levels leaves a source and 16 ** top_levels sources; a tree that has ended is carried on."""
+    fields = ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", "text")
+    framed = lambda v: f"coalesce(strlen({v}) || ':' || {v}, '-')"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """list_reduce(list_concat([4294967295], flatten(list_transform(str_split(cast(doc_id as varchar), ''),
+        lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: case when x >= 0 then xor(a, x)
+        when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)"""
+    steps = [
+        f"""l as (select row_number() over () as rid, doc_id, coalesce('+' || source, '') as tree,
+            sha256({" || ".join(map(framed, fields))}) as leaf,
+            case when xor({crc}, 4294967295) % 5 = 0 and text is not null
+                 then sha256({" || ".join(map(framed, (*fields[:-1], lowered)))}) end as tampered from documents)""",
+        """s0 as (select rid, tree, leaf as h, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx,
+            count(*) over (partition by tree) as n from l)""",
+    ]
+
+    def above(name: str, k: int) -> None:
+        steps.append(
+            f"""{name}{k + 1} as (select tree, idx // 16 as idx, (n + 15) // 16 as n,
+                case when n > 1 then sha256(string_agg(h, '' order by idx)) else min(h) end as h
+                from {name}{k} group by tree, idx // 16, n)"""
+        )
+
+    def beside(name: str, k: int) -> None:
+        over = "over (partition by tree, idx // 16 order by idx rows between"
+        steps.append(
+            f"""{name}p{k} as (select *, coalesce(string_agg(h, '') {over} unbounded preceding and 1 preceding), '') as a,
+                coalesce(string_agg(h, '') {over} 1 following and unbounded following), '') as b from {name}{k})"""
+        )
+
+    for k in range(levels):
+        above("s", k)
+        beside("s", k)
+    steps.append(
+        f"""t0 as (select tree as of, 0 as tree, h, row_number() over (order by tree) - 1 as idx, count(*) over () as n
+            from s{levels})"""
+    )
+    for k in range(top_levels):
+        above("t", k)
+        beside("t", k)
+    steps.append(
+        """f0 as (select l.doc_id, l.leaf, l.tree, s.idx, t.idx as tidx, t.h as subroot, '' as proof,
+            coalesce(tampered, leaf) as node from l join sp0 s using (rid) join t0 t on t.of = l.tree)"""
+    )
+    for k in range(levels + top_levels):
+        name, level = ("sp", k) if k < levels else ("tp", k - levels)
+        on = f"p.tree = f.tree and p.idx = f.idx // {16**level}" if k < levels else f"p.idx = f.tidx // {16**level}"
+        steps.append(
+            f"""f{k + 1} as (select f.* replace (f.proof || p.a || p.b as proof,
+                case when p.n > 1 then sha256(p.a || node || p.b) else node end as node) from f{k} f join {name}{level} p on {on})"""
+        )
+    return f"""with {", ".join(steps)}
+        select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, node as folded_root, node = r.h as verified
+        from f{levels + top_levels}, t{top_levels} r"""
+
+
 ORACLE = {
+    "op13_merkle": _merkle_sql(),
     "op6_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
