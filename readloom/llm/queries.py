@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import alignment, bpe_tree, langid, merkle, mixing, phrases, quality, simhash, token_counts, topk, urlfilter, warc
+from readloom.llm import alignment, bpe_tree, langid, merkle, mixing, phrases, quality, simhash, suffixes, token_counts, topk, urlfilter, warc
 from readloom.llm.common import shared_folder, table
 
 #: host, path, verdict
@@ -88,6 +88,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.kept_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     made = alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
@@ -109,6 +113,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "op11_suffixes": op11_suffixes,
     "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }
