@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,17 +37,18 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import by_size, materialize, small_batches, tokenizer_json
 
-MOST_WORDS = 200_000
+MOST_WORDS = 500_000
 MOST_CHARS = 1 << 23
 B_BITS = 15
 _BATCH = 1 << 20
+_GROUP = 500
 _CUT = re.compile(r"(?<=\S)(?= +\S)")
 _ODD = re.compile(r"\A |\s(?= |\Z)")
 _SPACE = "▁"
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 _SCHEMA = (
-    "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
+    "block long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups string, "
     "pairs array<int>, times array<int>, summary boolean"
 )
 
@@ -93,13 +95,50 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_SPACE, " ").encode()
 
-    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and B for each word with its space."""
-        a, b = [], []
-        for run in by_size(words, _BATCH):
-            a += [e.ids for e in self.a.encode_batch_fast([" " + w for w in run], add_special_tokens=False)]
-            b += self.b.encode(run, num_threads=1)
-        return a, b
+    def encode(self, words: list[str]):
+        """Ids of A end to end, how many of each word with its space, the same of B, and which words fit.
+
+        Both give the bytes of a word that fits; others have no ids. Words that neither begin nor end with white space
+        are encoded in groups as one text, and the tokens are dealt to them by their bytes.
+        """
+        ids, sizes = ([], []), (np.zeros(len(words), np.int64), np.zeros(len(words), np.int64))
+        plain = [k for k, w in enumerate(words) if w and not w[0].isspace() and not w[-1].isspace()]
+        taken = set(plain)
+        groups = [plain[i : i + _GROUP] for i in range(0, len(plain), _GROUP)]
+        groups += [[k] for k in range(len(words)) if k not in taken]
+        texts = [" ".join([words[k] for k in group]) for group in groups]
+        at = 0
+        for run in by_size(texts, _BATCH):
+            a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in run], add_special_tokens=False)]
+            b = self.b.encode(run, num_threads=1)
+            for text, group, *both in zip(run, groups[at : at + len(run)], a, b, strict=True):
+                self._deal(text, group, words, both, ids, sizes)
+            at += len(run)
+        order = np.argsort(np.concatenate([np.array(g, np.int64) for g in groups]), kind="stable") if groups else []
+        flat = []
+        for side in (0, 1):
+            whole = np.concatenate(ids[side]) if ids[side] else np.empty(0, np.int64)
+            given = np.array([k for g in groups for k in g], np.int64)
+            ends = np.cumsum(sizes[side][given])
+            begin = (ends - sizes[side][given])[order]
+            flat.append(whole[np.repeat(begin, sizes[side]) + _runs(sizes[side])])
+        fit = (sizes[0] > 0) & (sizes[1] > 0)
+        return flat[0], sizes[0], flat[1], sizes[1], fit
+
+    def _deal(self, text: str, group: list[int], words: list[str], both, ids, sizes) -> None:
+        """Append the ids of a group of words that make up ``text`` and set their numbers."""
+        want = (" " + text).encode("utf-8", "surrogatepass")
+        if b"".join([self.bytes_a[i] for i in both[0]]) == want == b"".join([self.bytes_b[i] for i in both[1]]):
+            ascii_only = len(want) == len(text) + 1
+            ends = np.cumsum([len(words[k]) + 1 if ascii_only else len(words[k].encode("utf-8", "surrogatepass")) + 1 for k in group])
+            for side, size_of in ((0, self.size_a), (1, self.size_b)):
+                of = np.array(both[side], np.int64)
+                ids[side].append(of)
+                sizes[side][group] = np.bincount(np.searchsorted(ends, np.cumsum(size_of[of])), minlength=len(group))
+        elif len(group) > 1:  # some word doesn't fit: one by one
+            for k in group:
+                a = self.a.encode(" " + words[k], add_special_tokens=False).ids
+                self._deal(words[k], [k], words, (a, self.b.encode(words[k])), ids, sizes)
 
     def fits(self, word: str, a: list[int], b: list[int]) -> bool:
         """Whether both give the bytes of the word."""
@@ -169,12 +208,7 @@ class Words(dict):
         """Add words that are not known."""
         if not words:
             return
-        ids = list(zip(*self.pair.encode(words), strict=True))
-        fit = [self.pair.fits(w, a, b) for w, (a, b) in zip(words, ids, strict=True)]
-        ids = [of if fits else ([], []) for of, fits in zip(ids, fit, strict=True)]
-        n_a, n_b = np.array([len(a) for a, _ in ids]), np.array([len(b) for _, b in ids])
-        ids_a = np.array([i for a, _ in ids for i in a], np.int64)
-        ids_b = np.array([i for _, b in ids for i in b], np.int64)
+        ids_a, n_a, ids_b, n_b, fit = self.pair.encode(words)
         group_a, group_b = coalesced(self.pair.size_a[ids_a], self.pair.size_b[ids_b])
         word_of = np.zeros(int(group_a[-1]) + 1 if len(group_a) else 0, np.int64)
         word_of[group_a] = np.repeat(np.arange(len(words)), n_a)
@@ -195,15 +229,24 @@ class Words(dict):
 
     @staticmethod
     def _texts(n: int, ids_a, group_a, ids_b, group_b, word_of) -> list[str]:
-        """The groups of each word as text: ``a1,a2|b1;a3|b2``."""
-        sides = []
-        for ids, group in ((ids_a, group_a), (ids_b, group_b)):
-            names = list(map(str, ids.tolist()))
-            ends = np.cumsum(np.bincount(group, minlength=len(word_of))).tolist()
-            sides.append([",".join(names[i:j]) for i, j in zip([0, *ends[:-1]], ends)])
-        whole = [f"{a}|{b}" for a, b in zip(*sides, strict=True)]
-        ends = np.cumsum(np.bincount(word_of, minlength=n)).tolist()
-        return [";".join(whole[i:j]) for i, j in zip([0, *ends[:-1]], ends)]
+        """The groups of each word as text: ``a1,a2|b1;a3|b2``; words without tokens have an empty one."""
+        out = [""] * n
+        if not len(ids_a):
+            return out
+        side = np.concatenate([group_a * 2, group_b * 2 + 1])  # tokens in order of group, A before B
+        order = np.argsort(side, kind="stable")
+        names = list(map(str, np.concatenate([ids_a, ids_b])[order].tolist()))
+        side = side[order]
+        group = side >> 1
+        word = word_of[group]
+        after = np.full(len(side), 3)  # what comes after a token
+        same = group[1:] == group[:-1]
+        after[:-1] = np.where(same, (side[1:] != side[:-1]).astype(int), np.where(word[1:] == word[:-1], 2, 3))
+        marks = np.array([",", "|", ";", "\n"], object)[after].tolist()
+        texts = "".join(chain.from_iterable(zip(names, marks, strict=True))).split("\n")
+        for k, text in zip(np.flatnonzero(np.bincount(word, minlength=n)).tolist(), texts[:-1], strict=True):
+            out[k] = text
+        return out
 
     def places(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -244,12 +287,12 @@ def _block(known: Words, ids: list, texts: list[str], digest: bool) -> tuple[pd.
     cuts = np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]
     listed, docs = _summed(pair, np.ones(len(pair), np.int64))
     out = pd.DataFrame([m[0] for m in made], columns=list(NUMBERS))
-    out.insert(0, "doc_id", pd.Series(ids, dtype="Int64"))
+    out.insert(0, "doc_id", pd.Series(ids, dtype=object))
     out["groups"] = [m[1] for m in made]
     out["pairs"] = np.split(pair.astype(np.int32), cuts)
     out["times"] = np.split(times.astype(np.int32), cuts)
     out["summary"] = False
-    last = out.iloc[:1].assign(doc_id=pd.Series([None], dtype="Int64"), groups="", summary=True, **dict.fromkeys(NUMBERS, 0))
+    last = out.iloc[:1].assign(doc_id=None, groups="", summary=True, **dict.fromkeys(NUMBERS, 0))
     return out, last.assign(pairs=[listed.astype(np.int32)], times=[docs.astype(np.int32)])
 
 
@@ -277,8 +320,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, digest: bool = False) -> D
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, number = _known(*sent.value), TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = [None if i is pd.NA or i != i else int(i) for i in batch.doc_id.astype(object)]
-            start = 0
+            ids, start = batch.doc_id.tolist(), 0
             texts = [t or "" for t in batch.text]
             for run in by_size(texts, _BATCH):
                 for made in _block(known, ids[start : start + len(run)], run, digest):
@@ -286,7 +328,8 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, digest: bool = False) -> D
                     yield made
                 start, number = start + len(run), number + 1
 
-    return docs.select("doc_id", "text").mapInPandas(aligned, _SCHEMA)
+    # ids as text: pandas has no nulls beside numbers of 64 bits
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(aligned, _SCHEMA)
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
@@ -325,5 +368,6 @@ def align(docs: DataFrame, path_a: str, path_b: str, digest: bool = False) -> Da
     asked = made.filter("summary").select(F.col("block").alias("by"), F.explode("pairs").alias("pair"))
     answers = asked.join(pair_counts(made), "pair")
     rows = made.filter("not summary").drop("summary")
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long"
-    return rows.groupBy("block").cogroup(answers.groupBy("by")).applyInPandas(_answered, schema)
+    schema = "doc_id string, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long"
+    answered = rows.groupBy("block").cogroup(answers.groupBy("by")).applyInPandas(_answered, schema)
+    return answered.withColumn("doc_id", F.col("doc_id").cast("long"))
