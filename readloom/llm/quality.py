@@ -10,7 +10,8 @@ features go to one task, where the updates run in order of the hash). The weight
 whatever the input. Scoring covers every row and reads its text alone.
 
 Nulls: a null or empty text has no feature and gets the score of the bias. Labels other than 0 and 1 and null
-ids don't train; of contradicting labels of an id the 1 counts. With no label at all every score is 0.5.
+ids don't train; of contradicting labels of an id the 1 counts. With no label at all every score is 0.5. Rows that repeat
+get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, max_rows).mapInPandas(featured, "h long, label int, places binary")
     # ids that repeat among the documents must not raise the bound
-    rows = rows.limit(max_rows).repartition(1).sortWithinPartitions("h", "label", "places")
+    rows = rows.orderBy("h", "label", "places").limit(max_rows).repartition(1).sortWithinPartitions("h", "label", "places")
     made = rows.mapInPandas(learned, "w binary, bias double").collect()
     if not made:
         return np.zeros(1 << BITS, np.float32), 0.0

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -73,18 +74,87 @@ def test_language_edges(spark):
 def test_backoff_takes_the_longest_known():
     table = np.array([[1, 0], [5, 0], [0, 7], [0, 1]], np.float32)
     entries = {(0, "word"): 0, (4, "^wor"): 1, (2, "xy"): 2, (1, "x"): 3}
-    of = langid._Evidence(entries, table)
-    assert of.of("word").tolist() == [1, 0] and of.of("worm").tolist() == [5, 0]
-    assert of.of("xy").tolist() == [0, 7] and of.of("xq").tolist() == [0, 1] and of.of("q") == 0
-    assert of.total(["word", "xy", "xy", "q"]).tolist() == [1, 14]
+    of = langid.Evidence(entries, table)
+    assert of.of(["word", "worm", "xy", "xq", "q"]).tolist() == [[1, 0], [5, 0], [0, 7], [0, 1], [0, 0]]
+    assert of.sums([["word", "xy", "xy", "q"], [], ["q"]]).tolist() == [[1, 14], [0, 0], [0, 0]]
 
 
-def test_evidence_is_bounded(monkeypatch):
+def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(langid, "_CELLS", 0)
-    of = langid._Evidence({(1, "a"): 0}, np.ones((1, 2), np.float32))
-    n = len(of.rows)
-    words = [f"a{'b' * (i % 50)}{i}" for i in range(3 * n)]
-    assert of.total(words).tolist() == [3 * n] * 2 and len(of) <= n
+    of = langid.Evidence({(1, "a"): 0, (1, "b"): 1}, np.array([[1, 0], [0, 3]], np.float32))
+    for turn in range(40):
+        words = [f"a{turn % 30}x{i}" for i in range(300)] + ["b", "b"]
+        assert of.sums([words, words[-1:]]).tolist() == [[300, 6], [0, 3]]
+        assert len(of.young) == len(of.rows) <= of.most and len(of.old) == len(of.old_rows) <= of.most
+
+
+def brute_language(model, text):
+    """Language and score by the definition, a word at a time."""
+    langs, entries, table = model
+    words = [w for w in "".join(c if c.isalpha() or (not c.isascii() and c.isalnum() and not c.isdigit() and c != "_") else " " for c in text.lower()).split()]
+    words = [w for w in words if any(map(str.isalpha, w))]
+    if not words or not langs:
+        return "und", 0.0
+    total = np.zeros(len(langs))
+    for w in words:
+        for n in (0, 4, 3, 2, 1):
+            marked = f"^{w}$" if n > 1 else w
+            parts = [w] if n == 0 else [marked[i : i + n] for i in range(len(marked) - n + 1)]
+            at = [entries[n, g] for g in parts if (n, g) in entries]
+            if at:
+                total += table[at].astype(float).sum(0) / len(at)
+                break
+    share = np.exp((total - total.max()) / np.sqrt(len(words)))
+    return langs[int(total.argmax())], share.max() / share.sum()
+
+
+def test_predictions_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs.filter("doc_id % 2 = 0"), max_rows=20, max_entries=300)
+    texts = [r.text for r in docs.collect()] + ["", "12", "hello hello", "ah", "Ünter ß été"]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:9]], "text string")
+    got = df.select("text", langid.predictor(spark, model)("text").alias("p")).collect()
+    assert len(got) == len(texts) + 9
+    for r in got:
+        lang, score = brute_language(model, r.text)
+        assert r.p.lang_pred == lang and abs(r.p.score - score) < 1e-4
+
+
+def test_long_words_are_not_cut():
+    word = "x" * ((1 << 20) + 5)
+    for text in (word, word + " b", "a " + word + "-c" * 9):
+        words = [w for part in langid.stretches(text) for w in langid.words_of(part)]
+        assert words == langid.words_of(text)
+
+
+def test_each_language_trains(spark):
+    rows = [(i, "der hund und die katze", "de") for i in range(400)] + [(1000, "een hond", "nl")]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    langs, entries, _ = langid.fit(docs, max_rows=5, max_entries=4)
+    assert langs == ["de", "nl"] and (0, "hond") in entries and (0, "hund") in entries
+    chosen = langid.training_rows(docs, 5).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in chosen} == {"de": 5, "nl": 1}
+
+
+def test_ties_of_languages_go_to_the_lesser_name(spark):
+    df = spark.createDataFrame([(1, "same word", "nl"), (2, "same word", "de")], "doc_id long, text string, lang string")
+    said = df.select(langid.predictor(spark, langid.fit(df))("text").alias("p")).collect()
+    assert [r.p.lang_pred for r in said] == ["de", "de"] and abs(said[0].p.score - 0.5) < 1e-9
+
+
+def test_scores_by_given_weights(spark):
+    """The sparse dot product against a sum over all words and pairs, one at a time."""
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=1 << quality.BITS).astype(np.float32)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    got = docs.select("text", quality.scorer(spark, (weights, 0.25))("text").alias("score")).collect()
+    one, pair, top = 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15, 1 << 64
+    for r in got:
+        h = [zlib.crc32(w.encode()) + 1 for w in re.findall(r"\w+|[^\w\s]+", r.text)]
+        at = [x * one % top >> 64 - quality.BITS for x in h]
+        at += [0 if x == y else (x * pair + y * one) % top >> 64 - quality.BITS for x, y in zip(h[:-1], h[1:], strict=True)]
+        z = 0.25 + (sum(float(weights[i]) for i in at) / len(at) ** 0.5 if at else 0)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -35, 35)))) < 1e-6
 
 
 def test_folds_of_null_ids(spark):

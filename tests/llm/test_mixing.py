@@ -74,3 +74,17 @@ def test_no_words_and_no_rows(spark):
     got = mixing.mix(docs(spark, [(1, None, None), (2, "", "a")])).toPandas()
     assert got.taken.tolist() == [0, 0] and got.target.tolist() == [0, 0]
     assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_copies_do_not_change_with_the_packing(spark, tmp_path):
+    """Rows are numbered otherwise where Spark packs the files otherwise; the copies of a document stay."""
+    key, made = "spark.sql.files.minPartitionNum", []
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(12).write.parquet(f"{tmp_path}/d")
+    try:
+        for number in ("1", "12"):
+            spark.conf.set(key, number)
+            docs = spark.read.parquet(f"{tmp_path}/d")
+            made.append(sorted(map(tuple, mixing.mix(docs).select("doc_id", "copies", "rate").collect())))
+    finally:
+        spark.conf.unset(key)
+    assert made[0] == made[1] and {c for _, c, _ in made[0]} == {0, 1, 2}
