@@ -341,6 +341,45 @@ placed_best as (
          cast(max(score) as integer) as score
   from laid2 group by a, b, rc_a, rc_b, "offset")"""
 
+PAIRED_CLIQUES = PAIRED + f""",
+mate_ranks as materialized (select distinct read_id * 2 + rc::int as m, {RANK} as rank from kmers),
+mate_steps as (select kmer, rank, a * 2 + rc_a::int as ma, b * 2 + rc_b::int as mb from consecutive),
+mate_low as (
+  select ma, mb, min(x.rank) as low from (select distinct ma, mb from mate_steps)
+  join mate_ranks x on x.m = ma join mate_ranks y on y.m = mb and y.rank = x.rank group by ma, mb),
+kept as (select distinct kmer from mate_steps join mate_low using (ma, mb) where low = rank),
+chain as (
+  select o.kmer, o.ord, o.read_id as b, o.rc as rc_b, lag(o.read_id) over w as a, lag(o.rc) over w as rc_a,
+         lag(o.pos) over w - o.pos as "offset"
+  from ordered o semi join kept on kept.kmer = o.kmer window w as (partition by o.kmer order by o.ord)),
+runs as (
+  select c.*, p.y, sum(case when p.y is null then 1 else 0 end) over (partition by c.kmer order by c.ord) as aln
+  from chain c left join placed_best p
+    on p.a = c.a and p.b = c.b and p.rc_a = c.rc_a and p.rc_b = c.rc_b and p."offset" = c."offset"),
+laid as (
+  select kmer, aln, ord, b as pair, rc_b as rc, count(*) over (partition by kmer, aln) as size,
+         sum(case when y is null then 0 else "offset" end) over (partition by kmer, aln order by ord) as off1,
+         sum(coalesce(y, 0)) over (partition by kmer, aln order by ord) as off2
+  from runs),
+lay as materialized (
+  select kmer, {RANK} as krank, aln, ord, pair, pair * 2 + rc::int as m, v.e, case when (v.e = 2) = rc then 0 else 1 end as file_id,
+         case when v.e = 1 then off1 else off2 end as off,
+         case when (v.e = 2) = rc then seq1 else seq2 end as bases
+  from laid join mate_pairs on read_id = pair, (values (1), (2)) v(e) where size > 1),
+lower_ranks as materialized (
+  select kmer, aln, ord, r.rank from lay join mate_ranks r on r.m = lay.m where e = 1 and r.rank < krank),
+redundant as (
+  select distinct i.kmer, i.aln, i.ord as i, j.ord as j
+  from lower_ranks i join lower_ranks j on i.kmer = j.kmer and i.aln = j.aln and i.rank = j.rank and i.ord < j.ord),
+spans as (
+  select r.kmer, r.aln, r.j, e, off as first, off + len(bases) as past
+  from redundant r join lay l on l.kmer = r.kmer and l.aln = r.aln and l.ord = r.i),
+pcells as (
+  select * from (select *, off + i as col from (select *, unnest(range(len(bases))) as i from lay)) c
+  where not exists (select 1 from spans s where s.kmer = c.kmer and s.aln = c.aln and s.j = c.ord and s.e = c.e
+                    and s.first <= c.col and c.col < s.past)),
+pmembers as (select *, count(*) over (partition by kmer, aln, e, col) as size from pcells)"""
+
 SCORE_COLUMNS = 'a, b, rc_a, rc_b, "offset", overlap, matches, score'
 
 
@@ -455,6 +494,11 @@ strand_edges as (
         + labels("strand_edges", "lab"),
         "select node, rep, s from lab",
     ),
+    "paired_cliques": _sql(
+        PAIRED_CLIQUES,
+        """select kmer, cast(aln as integer) as aln, e as "end", cast(col as integer) as col, ord, file_id, pair + i as pos,
+       substr(bases, i + 1, 1) as base from pmembers where size > 1""",
+    ),
     "paired_best_match": _sql(PAIRED, "select * from placed_best"),
     "component_members": _sql(MEMBERS, "select rep, s, cast(address // (select fb from orders_n) as integer) as file_id, address % (select fb from orders_n) as pos, gap, base, qual from members"),
     "call_corrections": _sql(CORRECTIONS, "select cast(address // (select fb from orders_n) as integer) as file_id, address % (select fb from orders_n) as pos, gap, base, qual from corrections"),

@@ -354,7 +354,16 @@ def paired_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.paired_best_match(candidates, source.mate_pairs(spark, sf_dir))
 
 
+def paired_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mates = source.mate_pairs(spark, sf_dir)
+    keys = _once(spark, sf_dir, "mate-keys", lambda: materialize(paired.mate_keys(mates), "mate-keys"))
+    groups_of = paired.linked_groups(paired.by_mate(_paired_rows(spark, sf_dir)), keys)
+    laid = materialize(paired.paired_alignments(materialize(groups_of, "paired-groups"), mates), "paired-laid")
+    return _text(paired.paired_cliques(laid, keys, mates))
+
+
 QUERIES = {
+    "paired_cliques": paired_cliques,
     "read_fastq": fastq_round_trip,
     "repeat_groups": repeat_groups,
     "reverse_complement": reverse_complements,
