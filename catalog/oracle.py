@@ -525,7 +525,15 @@ fixed as (
   from plain_bases p left join per_base f on f.address = p.address group by p.read_id)""",
         "select read_id, seq, qual from fixed",
     ),
-    "read_fastq": _sql(READS_SQL, "select file_id, name, seq, qual from reads"),
+    "read_fastq": _sql(
+        READS_SQL
+        + """,
+records as (
+  select *, strlen(name) + 1 + strlen(seq) + 1 + 2 + strlen(qual) + 1 as bytes from reads),
+laid as (
+  select *, cast(sum(bytes) over (order by file_id, read_id) as bigint) - bytes as record_at from records)""",
+        "select name, seq, qual, record_at + strlen(name) + 1 as address, record_at from laid",
+    ),
     "repeat_groups": _sql(
         PEAK,
         """select count_if(n <= 1) as unique_keys, count_if(n >= 20 * kmer_cov) as repeat_keys,

@@ -314,13 +314,11 @@ def apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived reads written as FASTQ, one folder a file, and read back."""
+    """The derived reads written as FASTQ, a folder for each file, and both read back together with their offsets."""
     folder = f"{shared_folder(spark).rstrip('/')}/fastq-{uuid.uuid4().hex}"
     write_fastq(source.reads(spark, sf_dir), folder)
-    parts = [
-        read_fastq(spark, f"{folder}/file_id={i}").select(F.lit(i).alias("file_id"), "name", "seq", "qual") for i in (0, 1)
-    ]
-    return parts[0].unionByName(parts[1])
+    back = read_fastq(spark, [f"{folder}/file_id=0", f"{folder}/file_id=1"])
+    return back.select("name", "seq", "qual", "address", (F.col("address") - F.col("seq_offset") + F.col("rec_offset")).alias("record_at"))
 
 
 def repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
