@@ -68,11 +68,11 @@ pairs as (
 
 LINKS = PAIRS + f""",
 ranked as materialized (select distinct read_id, {RANK} as rank from kmers),
-lowest as (
-  select p.a, p.b, min(x.rank) as rank
-  from (select distinct a, b from consecutive) p
-  join ranked x on x.read_id = p.a join ranked y on y.read_id = p.b and y.rank = x.rank
-  group by p.a, p.b),
+lowest_here as materialized (select a, b, min(rank) as rank from consecutive group by a, b),
+lower as materialized (
+  select distinct l.a, l.b from lowest_here l
+  join ranked x on x.read_id = l.a and x.rank < l.rank join ranked y on y.read_id = l.b and y.rank = x.rank),
+lowest as materialized (select * from lowest_here l anti join lower w on w.a = l.a and w.b = l.b),
 links as materialized (
   select distinct c.a, c.b, c.kmer, c.rank from consecutive c
   join lowest l on c.a = l.a and c.b = l.b and c.rank = l.rank)"""
@@ -485,6 +485,17 @@ from near group by 1, 2""",
         SUPPLY + ", plain as (select distinct u, v, 1 as s from supply)" + labels("plain", "lab"),
         "select node, rep from lab",
     ),
+    "sign_conflicts": _sql(
+        LINKS
+        + """,
+strand_edges as (
+  select distinct c.a as u, c.b as v, case when c.rc_a = c.rc_b then 1 else -1 end as s
+  from consecutive c join links l on c.a = l.a and c.b = l.b and c.kmer = l.kmer),
+planted_edges as (
+  select * from strand_edges union select u, v, -s from strand_edges where u % 7936 = 16)"""
+        + labels("planted_edges", "lab"),
+        """select min(l // 2) as rep, x // 2 as node from lab_rec group by x // 2 having min(l) = max(l)""",
+    ),
     "signed_components": _sql(
         LINKS
         + """,

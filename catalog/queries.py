@@ -277,6 +277,13 @@ def signed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.signed_components(_strand_edges(spark, sf_dir))
 
 
+def sign_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked reads, and a few links said with both signs."""
+    edges = _strand_edges(spark, sf_dir)
+    planted = edges.filter(F.col("u") % 7936 == 16).select("u", "v", (-F.col("s")).alias("s"))
+    return graph.contradicting_components(edges.unionByName(planted))
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         ready = prepared(spark, sf_dir)
@@ -397,6 +404,7 @@ QUERIES = {
     "small_star_once": small_star_once,
     "components": components,
     "signed_components": signed_components,
+    "sign_conflicts": sign_conflicts,
     "component_members": component_members,
     "call_corrections": call_corrections,
     "apply_corrections": apply_corrections,
