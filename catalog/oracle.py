@@ -282,6 +282,26 @@ corrections as (
   where f.is_error and f."right" is not null)"""
 )
 
+FIXED = CORRECTIONS + """,
+fixes as (
+  select address, gap, base, qual from corrections
+  union all select address + 3, 0, '-', 5 from reads where rec_offset % 1792 = 0
+  union all select address + 5, g, case g when 1 then 'A' else 'C' end, 6 + g
+            from reads, (values (1), (2)) v(g) where rec_offset % 2816 = 0),
+per_base as (
+  select address, max(base) filter (gap = 0) as swap,
+         string_agg(base, '' order by gap) filter (gap > 0 and base <> '-') as extra,
+         string_agg(chr(qual + 33), '' order by gap) filter (gap > 0 and base <> '-') as extra_q
+  from fixes group by address),
+plain_bases as (
+  select read_id, address + i as address, i, substr(seq, i + 1, 1) as b, substr(qual, i + 1, 1) as c
+  from (select *, unnest(range(len(seq))) as i from reads)),
+fixed as (
+  select p.read_id,
+         string_agg(case when swap = '-' then '' else coalesce(swap, b) end || coalesce(extra, ''), '' order by i) as seq,
+         string_agg(case when swap = '-' then '' else c end || coalesce(extra_q, ''), '' order by i) as qual
+  from plain_bases p left join per_base f on f.address = p.address group by p.read_id)"""
+
 SUPPLY = """
 supply as (
   select distinct l_partkey * 2 as u, l_suppkey * 2 + 1 as v,
@@ -513,28 +533,16 @@ strand_edges as (
     "paired_best_match": _sql(PAIRED, "select * from placed_best"),
     "component_members": _sql(MEMBERS, "select rep, s, cast(address // (select fb from orders_n) as integer) as file_id, address % (select fb from orders_n) as pos, gap, base, qual from members"),
     "call_corrections": _sql(CORRECTIONS, "select cast(address // (select fb from orders_n) as integer) as file_id, address % (select fb from orders_n) as pos, gap, base, qual from corrections"),
-    "apply_corrections": _sql(
-        CORRECTIONS
+    "apply_corrections": _sql(FIXED, "select read_id, seq, qual from fixed"),
+    "lifted_addresses": _sql(
+        FIXED
         + """,
-fixes as (
-  select address, gap, base, qual from corrections
-  union all select address + 3, 0, '-', 5 from reads where rec_offset % 1792 = 0
-  union all select address + 5, g, case g when 1 then 'A' else 'C' end, 6 + g
-            from reads, (values (1), (2)) v(g) where rec_offset % 2816 = 0),
-per_base as (
-  select address, max(base) filter (gap = 0) as swap,
-         string_agg(base, '' order by gap) filter (gap > 0 and base <> '-') as extra,
-         string_agg(chr(qual + 33), '' order by gap) filter (gap > 0 and base <> '-') as extra_q
-  from fixes group by address),
-plain_bases as (
-  select read_id, address + i as address, i, substr(seq, i + 1, 1) as b, substr(qual, i + 1, 1) as c
-  from (select *, unnest(range(len(seq))) as i from reads)),
-fixed as (
-  select p.read_id,
-         string_agg(case when swap = '-' then '' else coalesce(swap, b) end || coalesce(extra, ''), '' order by i) as seq,
-         string_agg(case when swap = '-' then '' else c end || coalesce(extra_q, ''), '' order by i) as qual
-  from plain_bases p left join per_base f on f.address = p.address group by p.read_id)""",
-        "select read_id, seq, qual from fixed",
+named as (
+  select r.file_id, f.read_id, r.name || '/' || (r.file_id + 1) as name, f.seq from fixed f join reads r using (read_id)),
+sized as (select *, strlen(name) + 1 + 2 * (len(seq) + 1) + 2 as bytes from named),
+laid as (
+  select *, cast(sum(bytes) over (order by file_id, read_id) as bigint) - bytes + strlen(name) + 1 as address from sized)""",
+        "select name, seq, address, address as lifted from laid",
     ),
     "read_fastq": _sql(
         READS_SQL

@@ -304,8 +304,8 @@ def call_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.with_file(_corrections(spark, sf_dir), source.files(spark, sf_dir))
 
 
-def apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The called corrections, and planted ones that drop and insert bases."""
+def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with the called corrections, and planted ones that drop and insert bases."""
     reads = source.reads(spark, sf_dir)
     dropped = reads.filter(F.col("rec_offset") % 1792 == 0).select(
         (F.col("address") + 3).alias("address"), F.lit(0).alias("gap"), F.lit("-").alias("base"), F.lit(5).alias("qual")
@@ -317,14 +317,34 @@ def apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
         "address", "gap", F.when(F.col("gap") == 1, "A").otherwise("C").alias("base"), (F.col("gap") + 6).alias("qual")
     )
     fixes = _corrections(spark, sf_dir).unionByName(dropped).unionByName(inserted)
-    return correct.apply_corrections(reads, fixes).select("read_id", "seq", "qual")
+    return correct.apply_corrections(reads, fixes)
+
+
+def apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corrected(spark, sf_dir).select("read_id", "seq", "qual")
+
+
+def _read_back(spark: SparkSession, reads: DataFrame) -> DataFrame:
+    """``reads`` written as FASTQ, a folder for each of the two files, and both read back together."""
+    folder = f"{shared_folder(spark).rstrip('/')}/fastq-{uuid.uuid4().hex}"
+    write_fastq(reads, folder)
+    return read_fastq(spark, [f"{folder}/file_id=0", f"{folder}/file_id=1"])
+
+
+def lifted_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads scanned, corrected, written and scanned again: their new address as read and as lifted over."""
+    named = F.concat_ws("/", "name", (F.col("file_id") + 1).cast("string")).alias("name")  # of both mates
+    scanned = _read_back(spark, source.reads(spark, sf_dir).select("read_id", "file_id", named, "seq", "qual"))
+    fixed = materialize(_corrected(spark, sf_dir).select("read_id", "file_id", named, "seq", "qual"), "corrected")
+    back = _read_back(spark, fixed)
+    after = scanned.select("read_id", "name").join(fixed.select("name", "seq"), "name")
+    lifted = correct.lift_over(scanned, after).join(scanned.select("read_id", "name"), "read_id")
+    return back.select("name", "seq", "address").join(lifted.select("name", "lifted"), "name")
 
 
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived reads written as FASTQ, a folder for each file, and both read back together with their offsets."""
-    folder = f"{shared_folder(spark).rstrip('/')}/fastq-{uuid.uuid4().hex}"
-    write_fastq(source.reads(spark, sf_dir), folder)
-    back = read_fastq(spark, [f"{folder}/file_id=0", f"{folder}/file_id=1"])
+    back = _read_back(spark, source.reads(spark, sf_dir))
     return back.select("name", "seq", "qual", "address", (F.col("address") - F.col("seq_offset") + F.col("rec_offset")).alias("record_at"))
 
 
@@ -408,6 +428,7 @@ QUERIES = {
     "component_members": component_members,
     "call_corrections": call_corrections,
     "apply_corrections": apply_corrections,
+    "lifted_addresses": lifted_addresses,
     "paired_best_match": paired_best_match,
     "fingerprint_clusters": fingerprint_clusters,
     "column_error_test_exact": column_error_test_exact,
