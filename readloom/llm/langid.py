@@ -37,7 +37,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"[\W\d_]")
 _STRETCH = 1 << 20
 #: Numbers a worker remembers in a generation.
-_CELLS = 1 << 19
+_CELLS = 1 << 18
 
 
 def words_of(text: str) -> list[str]:

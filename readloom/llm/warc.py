@@ -9,12 +9,13 @@ Reading gives a chunk table: (archive, record number, chunk number, bytes, diges
 bytes; its digest is that of the payload up to its end, so the last chunk of a record carries the whole digest and no
 step ever joins chunks. The reader holds one chunk and one header.
 
-The writer gets each page's payload from its row and sends it on by chunks; everything else about the page (size,
-digest, role) is known from columns before its first byte is written.
+The writer gets chunk rows as well: payloads are cut in the JVM, in the task that writes them and without a shuffle, and
+a chunk is the largest cell that a worker receives. Everything else about a page (size, digest, role) is known from
+columns before its first byte is written.
 
 Nulls: a null html is an empty payload; a null url is written without target; a null page_id is a page of its own
 whose record can't be referred to (it is a response only where no other page has its payload, or of nulls alone).
-Rows with the same id and payload share their role. Files go through the file systems that pyarrow knows by URI.
+Rows with the same id and payload share their role. An empty table gives no archive; other columns are ignored. Files go through the file systems that pyarrow knows by URI.
 """
 
 from __future__ import annotations
@@ -89,9 +90,8 @@ def _record_id(page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def write_record(out, page_id, url, html: str, size: int, digest: str, first) -> None:
-    """One gzip member: headers, the HTTP header, and for a response the payload chunk by chunk."""
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+def _head(page_id, url, size: int, digest: str, first) -> bytes:
+    """Headers of a record and of its HTTP response."""
     revisit = first is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     lines = [
@@ -109,40 +109,54 @@ def write_record(out, page_id, url, html: str, size: int, digest: str, first) ->
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(first)}", f"X-Refers-To-Page: {first}"]
     lines.append(f"Content-Length: {len(http) + (0 if revisit else size)}")
-    out.write(packer.compress(("\r\n".join(lines) + "\r\n\r\n").encode() + http))
-    if not revisit:
-        for i in range(0, len(html), CHUNK // 4):  # a character has four bytes at most
-            out.write(packer.compress(html[i : i + CHUNK // 4].encode()))
-    out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+    return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
 
-def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
-    """Archives of all pages (page_id, url, html) under ``folder``; the list of files written: archive, records."""
-    small_batches(pages.sparkSession)
-    known = roles(pages, least)
+def chunk_rows(known: DataFrame, size: int = CHUNK) -> DataFrame:
+    """page_id, url, bytes, digest, first, chunk, last, data: the payload of each page in rows of ``size`` bytes at most.
+
+    A page's rows follow each other, in order; a revisit and an empty payload have one row without bytes. The cuts are
+    made on bytes in the JVM, so each costs its own length only.
+    """
+    html = F.when(F.col("first").isNull(), F.col("html")).otherwise(F.lit("")).cast("binary")
     ready = known.select(
         F.col("page_id").cast("string"), "url", "bytes", base32_of_hex(F.col("digest")).alias("digest"),
-        F.col("first").cast("string"),
-        F.when(F.col("first").isNull(), F.col("html")).alias("html"),
+        F.col("first").cast("string"), html.alias("payload"),
+    )
+    parts = F.greatest(F.ceil(F.octet_length("payload") / size).cast("int"), F.lit(1))
+    each = ready.withColumn("parts", parts).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.select(
+        "page_id", "url", "bytes", "digest", "first", "chunk", (F.col("chunk") == F.col("parts") - 1).alias("last"),
+        F.substring("payload", F.col("chunk") * size + 1, size).alias("data"),
     )
 
+
+def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
+    """Archives of all pages (page_id, url, html) under ``folder``; the list of files written: archive, records."""
+    small_batches(pages.sparkSession)
+
     def write_part(batches):
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
-        name, n, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
+        name, n, out, packer = f"{uuid.uuid4().hex}.warc.gz", 0, None, None
         for b in batches:
             if out is None:
                 out = system.open_output_stream(f"{base.rstrip('/')}/{name}", compression=None)
-            for row in zip(b.page_id, b.url, b.html, b.bytes, b.digest, b["first"], strict=True):
-                page_id, url, html, size, digest, first = row
-                write_record(out, page_id, url, html or "", int(size), digest, first)
-                n += 1
+            for row in zip(b.page_id, b.url, b.bytes, b.digest, b["first"], b.chunk, b["last"], b.data, strict=True):
+                page_id, url, size, digest, first, chunk, last, data = row
+                if chunk == 0:  # one gzip member a record
+                    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+                    out.write(packer.compress(_head(page_id, url, int(size), digest, first)))
+                out.write(packer.compress(data))
+                if last:
+                    out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+                    n += 1
         if out is not None:
             out.close()
             yield pd.DataFrame({"archive": [f"{folder.rstrip('/')}/{name}"], "records": [n]})
 
     # written once; its rows name the files of the attempts that succeeded
-    return materialize(ready.mapInPandas(write_part, _ENTRY), "archives")
+    return materialize(chunk_rows(roles(pages, least)).mapInPandas(write_part, _ENTRY), "archives")
 
 
 class _Stream:

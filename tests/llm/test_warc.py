@@ -71,3 +71,16 @@ def test_repeated_rows(spark, tmp_path):
     got = warc.records(warc.write(made(spark, rows), f"{tmp_path}/w")).collect()
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.page_id == 2) == [(2, "revisit", 1)] * 2
     assert [r.record_type for r in got if r.page_id == 1] == ["response"] * 2
+
+
+def test_chunk_rows_are_bounded_and_in_order(spark):
+    html = ["é" * 5000, None, "", "x" * 640, "y" * 64, "é" * 5000]
+    pages = spark.createDataFrame([(i, f"u{i}", t, 7) for i, t in enumerate(html)], "page_id long, url string, html string, chunk int")
+    rows = warc.chunk_rows(warc.roles(pages), size=64).collect()
+    assert max(len(r.data) for r in rows) == 64
+    joined, before = {}, None
+    for r in rows:
+        assert r.chunk == (before.chunk + 1 if before and not before.last else 0)
+        joined[r.page_id] = joined.get(r.page_id, b"") + bytes(r.data)
+        before = r
+    assert before.last and joined == {str(i): b"" if i in (2, 5) else (t or "").encode() for i, t in enumerate(html)}
