@@ -214,6 +214,62 @@ prints as (
          coalesce(string_agg(cast(q as varchar), ',' order by col) filter (col is not null), '') as print_q
   from marked group by kmer, ord, read_id)"""
 
+def _shared_quality(equal: str, j: str, i: str) -> str:
+    """Lesser qualities summed over the columns in which two prints both have a letter, the same or not."""
+    a, b = f"letters[{j}][c]", f"letters[{i}][c]"
+    return (
+        f"list_sum(list_transform(range(1, len(letters[{j}]) + 1), lambda c: case when {a} <> ' ' and {b} <> ' ' "
+        f"and {a} {equal} {b} then least(quals[{j}][c], quals[{i}][c]) else 0 end))"
+    )
+
+
+def _nearest(others: str, most: int) -> str:
+    """Number of the print most like print i that contradicts it by at most ``most``; the earlier one on a tie."""
+    return (
+        f"list_min(list_transform(list_filter({others}, lambda j: solid[j] and {_shared_quality('<>', 'j', 'i')} <= {most}), "
+        f"lambda j: {{'l': -{_shared_quality('=', 'j', 'i')}, 'j': j}})).j"
+    )
+
+
+# Greedy clusters in the order of the first reads: a step of the recursion places one print of each alignment.
+PRINT_CLUSTERS = PRINTS + f""",
+printed as (
+  select kmer, ord, print, cast(string_split(print_q, ',') as bigint[]) as q from prints where print <> ''),
+print_sums as (
+  select kmer, print, j, cast(sum(q[j]) as bigint) as s
+  from (select *, unnest(range(1, len(print) + 1)) as j from printed) group by kmer, print, j),
+print_list as (
+  select kmer, print, first, q, list_min(q) > 60 as solid, row_number() over (partition by kmer order by first) as i
+  from (select kmer, print, list(s order by j) as q from print_sums group by kmer, print)
+  join (select kmer, print, min(ord) as first from printed group by kmer, print) using (kmer, print)),
+placed_prints as (
+  with recursive steps(kmer, i, n, letters, quals, solid, host) as (
+    select kmer, cast(1 as bigint), count(*), list(print order by i), list(q order by i), list(solid order by i), list(i order by i)
+    from print_list group by kmer
+    union all
+    select kmer, i + 1, n,
+           case when f is null then letters else list_transform(letters, lambda x, j: case when j <> f then x else
+             array_to_string(list_transform(range(1, len(x) + 1), lambda c: case when x[c] = ' ' then letters[i][c] else x[c] end), '') end) end,
+           case when f is null then quals else list_transform(quals, lambda x, j: case when j <> f then x else
+             list_transform(x, lambda y, c: y + quals[i][c]) end) end,
+           solid,
+           case when f is null then host else list_transform(host, lambda x, j: case when j = i then f else x end) end
+    from (select *, case when solid[i] then {_nearest("range(1, i)", 0)} end as f from steps where i <= n))
+  select * from steps where i = n + 1),
+print_hosts as materialized (
+  select kmer, i, case when solid[i] then host[i] else coalesce({_nearest("range(1, n + 1)", 60)}, i) end as h
+  from (select kmer, n, letters, quals, solid, host, unnest(range(1, n + 1)) as i from placed_prints)),
+print_ends as (
+  with recursive ends(kmer, i, h) as (
+    select * from print_hosts
+    union
+    select e.kmer, e.i, p.h from ends e join print_hosts p on p.kmer = e.kmer and p.i = e.h)
+  select kmer, i, min(h) as h from ends e
+  where exists (select 1 from print_hosts p where p.kmer = e.kmer and p.i = e.h and p.h = p.i) group by kmer, i),
+print_clusters as (
+  select l.kmer, l.print, t.first as cluster
+  from print_list l join print_ends e on e.kmer = l.kmer and e.i = l.i join print_list t on t.kmer = l.kmer and t.i = e.h)"""
+
 CLIQUES = PRINTS + f""",
 labels0 as (select kmer, ord, min(ord) over (partition by kmer, print) as cluster from prints),
 ccells as (
@@ -525,6 +581,11 @@ strand_edges as (
         + labels("strand_edges", "lab"),
         "select node, rep, s from lab",
     ),
+    "fingerprint_clusters": _sql(
+        PRINT_CLUSTERS,
+        """select p.kmer, p.ord, p.read_id, cast(coalesce(c.cluster, 0) as integer) as cluster
+       from prints p left join print_clusters c on c.kmer = p.kmer and c.print = p.print""",
+    ),
     "paired_cliques": _sql(
         PAIRED_CLIQUES,
         """select kmer, cast(aln as integer) as aln, e as "end", cast(col as integer) as col, ord, file_id, pair + i as pos,
