@@ -463,6 +463,26 @@ def _sql(ctes: str, final: str) -> str:
     return f"with {ctes.strip()}\n{final}"
 
 
+# A base of quality q is wrong with e = 10^(-q/10) and then adds q: one base after the other is folded into the
+# distribution of the sum. A sum is within the quantile if less than its mass lies below the sum.
+EXACT_TEST = COLUMNS_SQL + """,
+exact_bases as (
+  select col, base, count(*) as n, cast(sum(case when base <> 'N' then qual else 0 end) as bigint) as sum_q
+  from genome_columns group by col, base),
+exact_dist as materialized (
+  select col, list_reduce(list_concat([[cast(1.0 as double)]], list(x)), lambda d, x: list_transform(
+           range(1, len(d) + cast(x[1] as bigint) + 1), lambda t: coalesce(d[t], 0.0) * (1 - x[2])
+           + case when t > x[1] then d[t - cast(x[1] as bigint)] * x[2] else 0.0 end)) as d
+  from (select col, [cast(qual as double), pow(10.0, -qual / 10.0)] as x from genome_columns where base <> 'N' and qual > 0)
+  group by col),
+exact_runs as (
+  select *, cast(sum(sum_q) over (partition by col order by sum_q, base) as bigint) as running,
+         cast(sum(sum_q) over (partition by col) as bigint) as total from exact_bases),
+exact_test as (
+  select r.col, base, n, sum_q, case when coalesce(list_sum(d[1:total]), 0) >= 0.9999
+         then coalesce(list_sum(d[1:running]), 0) < 0.9999 else sum_q = 0 end as is_error
+  from exact_runs r left join exact_dist e on e.col = r.col)"""
+
 ORACLE = {
     "reverse_complement": _sql(
         READS_SQL, "select read_id, reverse(translate(seq, 'ACGT', 'TGCA')) as rc_seq from reads"
@@ -581,6 +601,7 @@ strand_edges as (
         + labels("strand_edges", "lab"),
         "select node, rep, s from lab",
     ),
+    "column_error_test_exact": _sql(EXACT_TEST, "select col, base, n, sum_q, is_error from exact_test"),
     "fingerprint_clusters": _sql(
         PRINT_CLUSTERS,
         """select p.kmer, p.ord, p.read_id, cast(coalesce(c.cluster, 0) as integer) as cluster
