@@ -118,6 +118,34 @@ segments as (
       and o.p_start <= r.p_start and o.p_end >= r.p_end))"""
 
 
+DOCUMENT_SEGMENTS = """
+doc_words as (select doc_id, text, string_split(text, ' ') as words from documents where text is not null),
+doc_keys as materialized (
+  select doc_id, list_min(list_transform(range(1, greatest(len(words) - 4, 1) + 1),
+         lambda i: md5(array_to_string(words[i:i + 4], ' ')))) as key from doc_words),
+text_pairs as materialized (
+  select k.a || '-' || k.b as pair_id, x.text as template, y.text as pattern
+  from (select min(doc_id) over (partition by key) as a, doc_id as b from doc_keys) k
+  join documents x on x.doc_id = k.a join documents y on y.doc_id = k.b where k.a < k.b),
+tw as (select pair_id, t, substr(template, t + 1, 50) as w
+       from (select *, unnest(range(len(template) - 49)) as t from text_pairs)),
+pw as (select pair_id, p, substr(pattern, p + 1, 50) as w
+       from (select *, unnest(range(len(pattern) - 49)) as p from text_pairs)),
+hits as (select pair_id, t - p as d, p from tw join pw using (pair_id, w)),
+islands as (select *, p - row_number() over (partition by pair_id, d order by p) as g from hits),
+runs as materialized (select pair_id, d, min(p) as p_start, max(p) + 50 as p_end from islands group by pair_id, d, g),
+segments as materialized (
+  select pair_id, cast(p_start + d as integer) as t_start, cast(p_start as integer) as p_start,
+         cast(p_end as integer) as p_end
+  from runs r where not exists (
+    select 1 from runs o where o.pair_id = r.pair_id and o.d <> r.d
+      and o.p_start <= r.p_start and o.p_end >= r.p_end)),
+shifts as (
+  select pair_id, arg_min(d, -v * 10000000 + d) as diagonal, max(v) as votes
+  from (select pair_id, t_start - p_start as d, cast(sum(p_end - p_start) as bigint) as v from segments group by all)
+  group by pair_id)"""
+
+
 def profile(cells: str, by: str, name: str) -> str:
     """CTEs <name>_votes and <name>_cols over a table of (by, base, qual)."""
     return f""",
@@ -516,6 +544,14 @@ from (select read_id, seq_offset, i, ascii(substr(qual, i + 1, 1)) - 33 as q
         PAIRS + ORIENTED, f"select {SCORE_COLUMNS} from scored where early >= 4 or overlap < 5"
     ),
     "exact_segments": _sql(SEGMENTS, "select * from segments"),
+    "document_segments": _sql(DOCUMENT_SEGMENTS, "select * from segments"),
+    "document_shifts": _sql(
+        DOCUMENT_SEGMENTS,
+        """select p.pair_id, cast(coalesce(max(p_end - p_start), 0) as integer) as longest,
+       coalesce(any_value(diagonal), 0) as diagonal, coalesce(any_value(votes), 0) as votes
+from text_pairs p left join segments s on s.pair_id = p.pair_id left join shifts h on h.pair_id = p.pair_id
+group by p.pair_id""",
+    ),
     "diagonal_vote": _sql(
         SEGMENTS,
         """select pair_id, cast(arg_min(d, (-v) * 1000 + d) as integer) as diagonal, cast(max(v) as bigint) as votes

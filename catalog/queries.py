@@ -147,6 +147,42 @@ def longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.longest_match(exact_segments(spark, sf_dir), _text_pairs(spark, sf_dir))
 
 
+def _document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents beside the first one with the same least digest of five words: (pair_id, template, pattern)."""
+
+    def build() -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        words = F.split("text", " ")
+        five = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))),
+            lambda i: F.md5(F.array_join(F.slice(words, i, 5), " ").cast("binary")),
+        )
+        keyed = materialize(docs.select("doc_id", F.array_min(five).alias("key")), "document-keys")
+        first = keyed.groupBy("key").agg(F.min("doc_id").alias("a"))
+        pairs = keyed.join(first, "key").filter("doc_id > a").select("a", F.col("doc_id").alias("b"))
+        one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("template"))
+        two = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("pattern"))
+        made = pairs.join(one, "a").join(two, "b")
+        ids = F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string"))
+        return materialize(made.select(ids.alias("pair_id"), "template", "pattern"), "document-pairs")
+
+    return _once(spark, sf_dir, "document-pairs", build)
+
+
+def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(
+        spark, sf_dir, "document-segments", lambda: overlap.unique_segments(_document_pairs(spark, sf_dir), min_len=50)
+    )
+
+
+def document_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where most of a document lies in the one it resembles, and the longest passage of both."""
+    segments = document_segments(spark, sf_dir)
+    pairs = _document_pairs(spark, sf_dir)
+    longest = overlap.longest_match(segments, pairs).select("pair_id", F.col("len").alias("longest"))
+    return longest.join(overlap.diagonal_vote(segments), "pair_id", "left").na.fill(0, ["diagonal", "votes"])
+
+
 def column_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.column_votes(source.genome_columns(spark, sf_dir), ["col"])
 
@@ -408,6 +444,8 @@ QUERIES = {
     "exact_segments": exact_segments,
     "diagonal_vote": diagonal_vote,
     "longest_match": longest_match,
+    "document_segments": document_segments,
+    "document_shifts": document_shifts,
     "column_votes": column_votes,
     "column_reference_base": column_reference_base,
     "binomial_quantile": quantiles,

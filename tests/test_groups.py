@@ -1,8 +1,10 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from readloom import session
 from readloom.operators import groups, kmers, overlap
 
 K = 5
@@ -131,6 +133,68 @@ def test_exact_segments_are_unique_and_maximal(spark):
     assert votes == {"same": (0, 10), "two": (0, 12)}
 
 
+def _unique_by_brute_force(template, pattern, k):
+    """Longest common stretches of at least k letters that the template has once."""
+    made = set()
+    for p in range(len(pattern)):
+        for t in range(len(template)):
+            if p and t and pattern[p - 1] == template[t - 1]:
+                continue
+            n = 0
+            while p + n < len(pattern) and t + n < len(template) and pattern[p + n] == template[t + n]:
+                n += 1
+            if n >= k and template.find(pattern[p : p + n], template.find(pattern[p : p + n]) + 1) < 0:
+                made.add((t, p, p + n))
+    return made
+
+
+def test_unique_segments_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "_PIECE", 16)
+    draw = random.Random(5)
+    made = [("none", "abcdef", "uvwxyz"), ("short", "ab", "abab"), ("one letter", "a" * 40, "a" * 33), ("empty", "", "")]
+    for i in range(60):
+        letters = "ab" if i % 2 else "abé日"
+        passage = "".join(draw.choice(letters) for _ in range(draw.randint(3, 30)))
+        sides = []
+        for _ in range(2):
+            text = ""
+            while len(text) < 90:
+                text += passage if draw.random() < 0.5 else "".join(draw.choice(letters) for _ in range(draw.randint(1, 12)))
+            sides.append(text)
+        made.append((f"r{i}", *sides))
+    frame = spark.createDataFrame([*made, ("null", None, "abab")], "pair_id string, template string, pattern string")
+    for k in (5,):
+        got = {tuple(r) for r in overlap.unique_segments(frame, k).collect()}
+        assert got == {(name, *s) for name, t, p in made for s in _unique_by_brute_force(t, p, k)}
+        assert got == {tuple(r) for r in overlap.exact_segments(frame, k).collect()}
+    assert overlap.unique_segments(frame.limit(0), 4).count() == 0
+
+
+def test_unique_segments_make_few_rows_of_a_repeated_passage(spark):
+    draw = random.Random(6)
+
+    def text(n):
+        return "".join(draw.choice("abcdefgh") for _ in range(n))
+
+    passage = text(300)
+    rows = {}
+    for times in (10, 20):
+        template, pattern = ("".join(passage + text(30) for _ in range(times)) for _ in range(2))
+        frame = spark.createDataFrame([("p", template, pattern)], "pair_id string, template string, pattern string")
+        windows = []
+
+        def counted(df, name, windows=windows):
+            table = session.materialize(df, name)
+            windows.append(table.count())
+            return table
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(overlap, "materialize", counted)
+            overlap.unique_segments(frame, 20)
+        rows[times] = sum(windows)
+    assert rows[20] < 3 * rows[10], rows  # all hits would be four times as many
+
+
 def test_overlap_score_with_both_signs_of_offset(spark):
     rows = [("ACGTACGTAC", "GTACGTACAA", 2), ("GTACGTACAA", "ACGTACGTAC", -2), ("AAAAAAAAAA", "CCCCCCCCCC", 0)]
     frame = spark.createDataFrame(rows, "seq_a string, seq_b string, offset int")
