@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import reads as source
@@ -152,12 +152,15 @@ def _document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-        words = F.split("text", " ")
-        five = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))),
-            lambda i: F.md5(F.array_join(F.slice(words, i, 5), " ").cast("binary")),
-        )
-        keyed = materialize(docs.select("doc_id", F.array_min(five).alias("key")), "document-keys")
+
+        def least(words: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1)))
+            five = F.transform(starts, lambda i: F.md5(F.array_join(F.slice(words, i, 5), " ").cast("binary")))
+            return F.array_min(five)
+
+        # the array of one keeps the words from being split anew for each five of them
+        key = F.transform(F.array(F.split("text", " ")), least)[0]
+        keyed = materialize(docs.select("doc_id", key.alias("key")), "document-keys")
         first = keyed.groupBy("key").agg(F.min("doc_id").alias("a"))
         pairs = keyed.join(first, "key").filter("doc_id > a").select("a", F.col("doc_id").alias("b"))
         one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("template"))
