@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +14,10 @@ from readloom.functions.stats import QUANTILE_MASS, binomial_quantile
 # An N adds no quality to its column.
 NO_CALL = "N"
 GAP = "-"
-# Terms of a binomial this many standard deviations (and so many steps) from its mode don't count in a double.
+# Sums this many standard deviations (and so many bases) from the mean don't count in a double.
 _DEVIATIONS, _STEPS = 12.0, 20
+# Cells of distributions that are worked out at a time, and what their sums may be off by.
+_CELLS, _ROUNDING = 1 << 20, 1e-11
 
 
 def base_tallies(members: DataFrame, by: list[str]) -> DataFrame:
@@ -123,42 +123,46 @@ def column_error_test(
     return error_test_of_profile(column_profile(members, by), by, cap, margin_fold, fold)
 
 
-def _wrong_bases(n: int, e: float) -> tuple[int, np.ndarray]:
-    """Distribution of the number of wrong ones among n bases, as (first number, probabilities) of a window."""
-    mode = min(int((n + 1) * e), n)
-    reach = math.ceil(_DEVIATIONS * math.sqrt(n * e * (1 - e))) + _STEPS
-    low, high = max(0, mode - reach), min(n, mode + reach)
-    if e >= 1:
-        return n, np.ones(1)
-    i = np.arange(low + 1, high + 1)
-    logs = np.concatenate([[0.0], np.cumsum(np.log(n - i + 1) - np.log(i) + math.log(e) - math.log1p(-e))])
-    terms = np.exp(logs - logs.max())
-    return low, terms / terms.sum()
-
-
-def _quality_sum_quantile(quals: np.ndarray, counts: np.ndarray) -> int:
-    """Least t with P(sum of the qualities of wrong bases <= t) >= 0.9999, bases independent.
+def _quality_sum_quantiles(quals: pd.Series, counts: pd.Series) -> np.ndarray:
+    """Least t of each column with P(sum of the qualities of wrong bases <= t) >= 0.9999, bases independent.
 
-    One binomial a quality; their windows, and so the memory, grow with the square root of the depth.
+    ``quals`` and ``counts`` list the qualities of a column and how many bases have them; null: no bases. The sum of
+    independent bases has the product of their characteristic functions, one factor a quality to the power of its count:
+    worked out for all columns of a batch at once, then turned into distributions. A distribution is cut to a window
+    about its mean, so memory grows with the square root of the depth.
     """
-    first, mass = 0, np.ones(1)
-    for q, n in zip(quals, counts):
-        if q == 0:  # adds nothing to the sum
-            continue
-        low, wrong = _wrong_bases(int(n), 10.0 ** (-q / 10.0))
-        grown = np.zeros(len(mass) + int(q) * (len(wrong) - 1))
-        for k, p in enumerate(wrong):
-            grown[k * q : k * q + len(mass)] += p * mass
-        first, mass = first + low * int(q), grown
-    reached = np.flatnonzero(np.cumsum(mass) >= QUANTILE_MASS)
-    return first + (int(reached[0]) if len(reached) else len(mass) - 1)
+    lens = quals.map(lambda q: 0 if q is None else len(q)).to_numpy(np.int64)
+    limits = np.zeros(len(lens), np.int64)
+    if not lens.sum():
+        return limits
+    flat_q, flat_n = (np.concatenate([x for x in side if x is not None]).astype(np.int64) for side in (quals, counts))
+    levels, at = np.unique(flat_q, return_inverse=True)
+    depth = np.zeros((len(lens), len(levels)))
+    np.add.at(depth, (np.repeat(np.arange(len(lens)), lens), at), flat_n)
+    depth, levels = depth[:, levels > 0], levels[levels > 0]  # quality 0 adds nothing to the sum
+    error = 10.0 ** (-levels / 10.0)
+    total = depth @ levels
+    mean, spread = depth @ (levels * error), np.sqrt(depth @ (levels**2 * error * (1 - error)))
+    reach = np.ceil(_DEVIATIONS * spread + _STEPS * levels.max(initial=0))
+    width = 1 << np.ceil(np.log2(np.minimum(total, 2 * reach) + 1)).astype(np.int64)
+    low = np.where(total < width, 0, np.maximum(np.floor(mean - reach), 0)).astype(np.int64)
+    for size in np.unique(width[total > 0]).tolist():
+        roots, turns = np.exp(-2j * np.pi * np.arange(size) / size), np.arange(size // 2 + 1)
+        alike = np.flatnonzero((width == size) & (total > 0))
+        for rows in np.array_split(alike, -(-len(alike) * size // _CELLS)):
+            logs = np.zeros((len(rows), len(turns)), complex)
+            for n, q, e in zip(depth[rows].T, levels, error):
+                logs += n[:, None] * np.log(1 - e + e * roots[turns * q % size])
+            mass = np.fft.irfft(np.exp(logs), size, axis=1)
+            places = (low[rows, None] + np.arange(size)) % size
+            reached = np.cumsum(np.take_along_axis(mass, places, axis=1), axis=1) >= QUANTILE_MASS - _ROUNDING
+            limits[rows] = low[rows] + reached.argmax(axis=1)
+    return limits
 
 
 @F.pandas_udf(LongType())
 def _quantile_of(quals: pd.Series, counts: pd.Series) -> pd.Series:
-    # no levels at all: a column of N
-    limits = [0 if q is None else _quality_sum_quantile(q, n) for q, n in zip(quals, counts)]
-    return pd.Series(limits, dtype="int64")
+    return pd.Series(_quality_sum_quantiles(quals, counts))
 
 
 def column_error_test_exact(members: DataFrame, by: list[str], cap: int | None = None) -> DataFrame:
