@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe_tree, langid, minhash, mixing, quality
+from readloom.llm import bpe_tree, langid, minhash, mixing, quality, simhash
 from readloom.llm.common import materialize, table
 from readloom.llm.queries import vocabulary
 from readloom.session import ship_code
@@ -44,10 +44,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of least doc_id, of repeated ids the first row.
 
-    Near copies share four fifths of their five-word shingles or are connected by such.
+    The fingerprints of op5 group the documents first. Their sets are an exact check: near copies share four fifths of
+    their five-word shingles or are connected by such, and those that no two bits of a fingerprint show are found too.
     """
     numbered = _numbered(docs)
-    groups = minhash.near_copies(numbered.select(F.struct("doc_id", "__row").alias("doc_id"), "text"))
+    texts = numbered.select(F.struct("doc_id", "__row").alias("doc_id"), "text")
+    alike = simhash.near_copies(texts).select("doc_id", "component_id")
+    groups = minhash.near_copies(texts, alike)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.__row")
     return numbered.join(kept, "__row", "left_semi").drop("__row")
 

@@ -38,7 +38,7 @@ BANDS = 40
 ROWS = 6
 SMALL = 16
 SPLIT = 2
-_STRETCH = 1 << 12
+_STRETCH = 1 << 9
 
 
 def shingles_of(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -174,10 +174,12 @@ def _with_company(members: DataFrame) -> DataFrame:
     return members.join(shared, "key", "left_semi")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
     """doc_id and component_id, the least doc_id reachable, for each row of ``docs`` (doc_id, text).
 
-    No doc_id may repeat, and ``docs`` is a scan of written files: the ids tell which texts are read again.
+    No doc_id may repeat, and ``docs`` is a scan of written files: the ids tell which texts are read again. ``proposed``
+    (doc_id, component_id) are groups found otherwise: the sets of each text and of the one that names its group are
+    compared first, and what is near starts as one component. Null means none; the result is the same.
     """
     spark = docs.sparkSession
     rows = materialize(_sketches(docs), "sketches")
@@ -188,10 +190,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
     keyed = materialize(nodes.select("node", "n", F.posexplode("keys").alias("band", "key")), "keys")
     members = materialize(_with_company(keyed), "members")
     discard(keyed)
-    wanted = members.select("node").distinct().join(named, "node")
+    wanted = members.select("node")
+    if proposed is not None:
+        of = rows.join(first, ["high", "low"]).select("doc_id", "node")
+        ends = proposed.join(of, "doc_id").select(F.col("component_id").alias("doc_id"), F.col("node").alias("x")).join(of, "doc_id")
+        stars = ends.filter("x <> node").select(*_ordered(F.col("x"), F.col("node"))).distinct()
+        stars = materialize(stars, "proposed")
+        wanted = wanted.unionByName(stars.select(F.explode(F.array("a", "b")).alias("node")))
+    wanted = wanted.distinct().join(named, "node")
     sets = materialize(_sets(docs.join(wanted, "doc_id")), "sets")
     compared = spark.createDataFrame([], "a long, b long, near boolean")
     found = spark.createDataFrame([], "node long, least long")
+    if proposed is not None:
+        compared = materialize(_compared(stars, sets), "compared")
+        discard(stars)
+        if not compared.filter("near").isEmpty():
+            found = components(compared.filter("near").select("a", "b"))
     turn, last = 0, (BANDS - 1) // SPLIT
     while turn <= last and not members.isEmpty():
         open_now = materialize(_labelled(members, found), "open-members")

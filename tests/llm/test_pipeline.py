@@ -121,3 +121,26 @@ def test_long_texts_join_by_written_keys(repacked):
     assert sorted(r.doc_id for r in made.collect()) == list(range(60))
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "monotonically_increasing_id" not in plan
+
+
+def test_near_dedup_groups_by_fingerprints_first(spark, tmp_path, monkeypatch):
+    """The stage runs op5's operator on every row, and what its groups propose is linked before any key is looked at."""
+    docs, seen = table(spark, SF, "documents").limit(40), []
+    near_copies, compared = corpus_pipeline.simhash.near_copies, corpus_pipeline.minhash._compared
+    docs.unionByName(docs.selectExpr("doc_id + 1000 as doc_id", "concat(text, ' ', text) as text", "lang", "source", "n_chars")).write.parquet(f"{tmp_path}/d")
+
+    def noted(texts):
+        made = near_copies(texts)
+        seen.append(made.count())
+        return made
+
+    def pairs_noted(pairs, sets):
+        seen.append(pairs.count())
+        return compared(pairs, sets)
+
+    monkeypatch.setattr(corpus_pipeline.simhash, "near_copies", noted)
+    monkeypatch.setattr(corpus_pipeline.minhash, "_compared", pairs_noted)
+    kept = corpus_pipeline.without_near_copies(spark, spark.read.parquet(f"{tmp_path}/d"), SF)
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/d").collect())
+    assert seen[0] == 80 and seen[1] > 0
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[i][0] for i in brute_groups([t for _, t in rows])})
