@@ -37,7 +37,7 @@ SIMILAR = (4, 5)
 BANDS = 40
 ROWS = 6
 SMALL = 16
-SPLIT = 2
+SPLIT = 3
 _STRETCH = 1 << 9
 
 
