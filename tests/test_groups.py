@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from readloom import session
 from readloom.operators import groups, kmers, overlap
+from readloom.plans import correction
 
 K = 5
 SWAP = str.maketrans("ACGT", "TGCA")
@@ -200,3 +201,30 @@ def test_overlap_score_with_both_signs_of_offset(spark):
     frame = spark.createDataFrame(rows, "seq_a string, seq_b string, offset int")
     got = overlap.score_overlaps(frame, k=5, match_rate=0.9).collect()
     assert sorted((r.offset, r.overlap, r.matches, r.score) for r in got) == [(-2, 8, 8, 8), (2, 8, 8, 8)]
+
+
+def test_groups_are_found_when_asked_for(spark, monkeypatch):
+    names = []
+
+    def noted(df, name):
+        names.append(name)
+        return session.materialize(df, name)
+
+    monkeypatch.setattr(correction, "materialize", noted)
+    ready = correction.prepare(_reads(spark, _sample(4)), K)
+    assert names == ["counts"]
+    assert ready.groups is ready.groups and names == ["counts", "groups"]
+
+
+def test_second_join_carries_lower_kmers_only(spark):
+    reads = _reads(spark, _sample(5))
+    pairs = spark.createDataFrame([(7, 0, 1)], "key bigint, a bigint, b bigint")
+    made = groups.shares_no_lower_key(pairs, kmers.read_keys(reads, K))
+    assert "filter(keys_a" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_segments_shuffle_texts_only(spark):
+    frame = spark.createDataFrame([("x", "ACGTACGGT", "ACGTACGGT"), (None, "ACGT", "ACGT")], "pair_id string, template string, pattern string")
+    made = overlap.exact_segments(frame, 4)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in made.collect()] == [("x", 0, 0, 9)]
