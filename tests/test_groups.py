@@ -228,3 +228,18 @@ def test_segments_shuffle_texts_only(spark):
     made = overlap.exact_segments(frame, 4)
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [tuple(r) for r in made.collect()] == [("x", 0, 0, 9)]
+
+
+def test_unique_segments_write_no_row_of_a_letter(spark, monkeypatch):
+    draw, names = random.Random(8), []
+    text = "".join(draw.choice("abcdefgh") for _ in range(3000))
+    pairs = [("p", text, text[500:]), ("twice", text, text), ("twice", text, text), (None, text, text)]
+    frame = spark.createDataFrame(pairs, "pair_id string, template string, pattern string")
+
+    def noted(df, name):
+        names.append(name)
+        return session.materialize(df, name)
+
+    monkeypatch.setattr(overlap, "materialize", noted)
+    assert [tuple(r) for r in overlap.unique_segments(frame, 50).collect()] == [("p", 500, 0, 2500)]
+    assert names == ["segments"]
