@@ -138,11 +138,16 @@ def _sized(n, m):
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member with one other of another component, the least by a hash of all that its keys offer."""
+    """(a, b): each member with one other of another component, the least by a hash of all that its keys offer.
+
+    A key offers its least member, after the first round its greatest as well, and a member meets one of either kind.
+    """
     order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("l"))
-    best = members.groupBy("key").agg(F.min(order).alias("best"))
+    ends = [F.min(order), F.max(order)][: 2 if turn else 1]
+    offered = members.groupBy("key").agg(F.array(*ends).alias("ends"))
+    each = members.join(offered, "key").select("node", "n", "label", F.posexplode("ends").alias("end", "best"))
     sized = _sized(F.col("n"), F.col("best.m")) & (F.col("label") != F.col("best.l"))
-    met = members.join(best, "key").filter(sized).groupBy("node").agg(F.min("best").alias("best"))
+    met = each.filter(sized).groupBy("node", "end").agg(F.min("best").alias("best"))
     return met.select(*_ordered(F.col("node"), F.col("best.other"))).distinct()
 
 
