@@ -8,7 +8,7 @@ above. Whatever shares a key is a candidate, and the sets of both are compared b
 Texts of one set fall together first (by a digest of 128 bits). Groups of candidates are then worked off without their
 pairs. In a first round each text meets one other that shares a key, and what is linked becomes one component; keys whose
 texts are all in one component are done. Of the other keys, small ones (``SMALL`` texts) let all texts of different
-components meet. In a crowded one each text meets one other again, and where components are still apart the key is
+components meet. In a crowded one each text meets two others, and where components are still apart the key is
 split: a text's key is joined with each of ``SPLIT`` more of its keys, so that only texts which agree in those rows too
 stay together. That goes on until no key is open; texts that agree in half of all keys and are still apart, which similar
 sets don't do, would meet all others of their key. So a text makes a bounded number of pairs for each of its keys, however
