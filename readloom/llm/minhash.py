@@ -8,13 +8,15 @@ above. Whatever shares a key is a candidate, and the sets of both are compared b
 Texts of one set fall together first (by a digest of 128 bits). Groups of candidates are then worked off without their
 pairs. In a first round each text meets one other that shares a key, and what is linked becomes one component; keys whose
 texts are all in one component are done. Of the other keys, small ones (``SMALL`` texts) let all texts of different
-components meet. In a crowded one each text meets two others, and where components are still apart the key is
-split: a text's key is joined with each of ``SPLIT`` more of its keys, so that only texts which agree in those rows too
-stay together. That goes on until no key is open; texts that agree in half of all keys and are still apart, which similar
-sets don't do, would meet all others of their key. So a text makes a bounded number of pairs for each of its keys, however
-many texts share them, and texts that share a long passage and are yet dissimilar part after a few splits. A pair of
-similarity s in crowded keys only meets while it agrees in further keys; of those it has ``SPLIT`` * s^ROWS times as many
-at each split, which is about 1 from 0.89 on (measured figures: README).
+components meet. A crowded one has a pivot, the text that most of its texts know as the one with most open keys, and all
+its texts meet it. Two texts of which one is no near copy of a pivot are only similar if they differ from it in common
+shingles, and of the shingles in which a text differs, in one order, a prefix is enough to find a common one
+(``differing``). Each shingle of the prefix is a key of the next round for the texts of that pivot. Where such keys are
+crowded again (four times ``SMALL``), their pivot serves in the same way if it is nearer to them than the one before;
+otherwise their texts are told apart by a second common shingle, a third, and so on, as long as they must have so many.
+Nothing is lost: what shares a crowded key and is similar meets in some round, or is in one component before. A text
+makes a quarter of its shingles as keys for each of its pivots at most, and texts that share a long passage and are
+yet dissimilar differ from their pivot in shingles of their own. What is crowded after ``ROUNDS`` rounds meets as it is.
 
 Nulls: a null text counts as empty; empty texts have no shingle and are copies of each other. Repeated rows each get
 their row, where their ids differ. An empty table gives an empty result; other columns are ignored.
@@ -37,7 +39,7 @@ SIMILAR = (4, 5)
 BANDS = 40
 ROWS = 6
 SMALL = 16
-SPLIT = 3
+ROUNDS = 10
 _STRETCH = 1 << 9
 
 
@@ -83,6 +85,28 @@ def similar(a: bytes, b: bytes) -> bool:
     return both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0]
 
 
+def differing(text: np.ndarray, pivot: np.ndarray) -> tuple:
+    """near, d, common, plain, most, prefix: how a set differs from a pivot, by d shingles that only one of them has.
+
+    Let e be the number of another text's differences, n and m the sizes of text and pivot. If the other text is similar
+    to this one, their differences have at least (d + e - (n + other n) / 9) / 2 shingles in common. That is more than
+    (d + (m - n) / 9) / 2 if the other is not near the pivot: at least ``common``, so that one of them is among the
+    first ``plain`` of both. Since e is no less than what is common, it is also d - (n + other n) / 9 at least, and a
+    similar text has 5 / 4 of the shingles at most: the first ``most``, n / 4 and one more, are enough against any text.
+    Texts near the pivot are in its component and only need what is plain. The prefix has ``ROUNDS`` shingles more.
+    """
+    num, den = SIMILAR
+    added = np.setdiff1d(text, pivot, assume_unique=True)
+    removed = np.setdiff1d(pivot, text, assume_unique=True)
+    n, m, d = len(text), len(pivot), len(added) + len(removed)
+    near = (n - len(added)) * den >= (n + len(removed)) * num
+    common = (d * (den + num) + (m - n) * (den - num)) // (2 * (den + num)) + 1
+    most = min(d, n * (den - num) // num + 1)
+    plain = min(max(d - common + 1, 0), most)
+    most = plain if near else most
+    return near, d, common, plain, most, np.concatenate([added, removed])[: most + ROUNDS if most else 0]
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     """doc_id, high and low (a digest of the set), n shingles, keys."""
     small_batches(docs.sparkSession)
@@ -126,10 +150,12 @@ def _ordered(a, b) -> list:
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members with label and size of their key; keys whose members are all in one component are left out."""
+    """members with label and size (plain ones) of their key; keys whose members are all in one component are left out."""
+    members = members.drop("label", "size")
     known = members.join(found, "node", "left").select(*members.columns, F.coalesce("least", "node").alias("label"))
-    sums = known.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("size"))
-    return known.join(sums.filter("l < m").select("key", "size"), "key")
+    plain = F.count_if(~F.col("extra")).alias("size")
+    sums = known.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), plain)
+    return known.join(sums.filter("l < m and size > 0").select("key", "size"), "key")
 
 
 def _sized(n, m):
@@ -137,40 +163,87 @@ def _sized(n, m):
     return F.least(n, m) * SIMILAR[1] >= F.greatest(n, m) * SIMILAR[0]
 
 
-def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member with one other of another component, the least by a hash of all that its keys offer.
-
-    A key offers its least member, after the first round its greatest as well, and a member meets one of either kind.
-    """
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("l"))
-    ends = [F.min(order), F.max(order)][: 2 if turn else 1]
-    offered = members.groupBy("key").agg(F.array(*ends).alias("ends"))
-    each = members.join(offered, "key").select("node", "n", "label", F.posexplode("ends").alias("end", "best"))
+def _stars(members: DataFrame) -> DataFrame:
+    """(a, b): each member with one other of another component, the least by a hash of all that its keys offer."""
+    order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("l"))
+    offered = members.groupBy("key").agg(F.min(order).alias("best"))
+    each = members.join(offered, "key").select("node", "n", "label", "best")
     sized = _sized(F.col("n"), F.col("best.m")) & (F.col("label") != F.col("best.l"))
-    met = each.filter(sized).groupBy("node", "end").agg(F.min("best").alias("best"))
+    met = each.filter(sized).groupBy("node").agg(F.min("best").alias("best"))
     return met.select(*_ordered(F.col("node"), F.col("best.other"))).distinct()
 
 
-def _all_of_small(members: DataFrame, most: int | None = SMALL) -> DataFrame:
-    """(a, b): all pairs of different components of the keys with ``most`` members at most."""
-    small = members if most is None else members.filter(F.col("size") <= most)
-    listed = small.groupBy("key").agg(F.collect_list(F.struct("node", "n", "label")).alias("of"))  # SMALL at most
-    one = listed.select("of", F.explode("of").alias("x"))
-    two = one.select("x", F.explode("of").alias("y")).filter("x.node < y.node and x.label <> y.label")
-    return two.filter(_sized(F.col("x.n"), F.col("y.n"))).select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
+def _crowded():
+    """Keys of more than so many texts; a further difference makes more rows of a text than ``4 * SMALL`` pairs cost."""
+    return F.col("size") > F.when(F.col("level").isNull(), SMALL).otherwise(4 * SMALL)
 
 
-def _split(members: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """Members of crowded keys under narrower keys: those that agree in one more key, for each of ``SPLIT`` further ones.
+def _all_met(members: DataFrame, last: bool) -> DataFrame:
+    """(a, b): plain members of keys that are not crowded (or ``last``), with all members of other components of the key.
 
-    ``band`` is the place of a member's first key, ``nodes`` has all keys of a node.
+    In crowded keys only those meet all others that need not agree in a further shingle.
+    """
+    small = F.lit(True) if last else ~_crowded()
+    stays = F.coalesce(F.col("common") <= F.col("level"), F.lit(False))
+    flagged = members.withColumn("meets", ~F.col("extra") & (small | stays)).select("key", "node", "n", "label", "meets")
+    offers = flagged.filter("meets").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("l"))
+    met = flagged.join(offers, "key").filter((F.col("label") != F.col("l")) & (~F.col("meets") | (F.col("node") < F.col("other"))))
+    return met.filter(_sized(F.col("n"), F.col("m"))).select(*_ordered(F.col("node"), F.col("other"))).distinct()
+
+
+def _pivots(crowded: DataFrame) -> DataFrame:
+    """key, by: the pivot of each key, which most of its members have as the one with most keys of all theirs offer."""
+    central = crowded.groupBy("node").agg(F.count("*").alias("keys"))
+    order = F.struct("keys", F.xxhash64("node").alias("h"), F.col("node").alias("by"))
+    offered = crowded.join(central, "node").groupBy("key").agg(F.max(order).alias("best"))
+    chosen = crowded.join(offered, "key").groupBy("node").agg(F.max("best").alias("best"))
+    votes = crowded.join(chosen, "node").groupBy("key", "best").agg(F.count("*").alias("votes"))
+    return votes.groupBy("key").agg(F.max(F.struct("votes", "best")).getField("best").getField("by").alias("by"))
+
+
+def _measured(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """pivot, node, n and how the node differs from the pivot (``differing``)."""
+
+    @F.pandas_udf("near boolean, d int, common int, plain int, most int, shingles array<long>")
+    def against(text: pd.Series, pivot: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, p in zip(text, pivot, strict=True):
+            *numbers, prefix = differing(np.frombuffer(x, "<u8"), np.frombuffer(p, "<u8"))
+            rows.append((*numbers, prefix.view(np.int64)))
+        return pd.DataFrame(rows, columns=["near", "d", "common", "plain", "most", "shingles"])
+
+    of_pivot = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("of_pivot"))
+    both = met.join(sets, "node").join(of_pivot, "pivot")
+    return both.select("pivot", "node", "n", against("shingles", "of_pivot").alias("__m")).select("pivot", "node", "n", "__m.*")
+
+
+def _differences(rows: DataFrame) -> DataFrame:
+    """Members of the next keys, for rows that agree in the shingles of ``key`` and have ``shingles`` after place ``at``."""
+    level = (F.col("level") + 1).alias("level")
+    last = F.col("most") + F.col("level") - 1
+    places = F.when(F.col("at") < last, F.sequence(F.col("at") + 1, last)).otherwise(F.array().cast("array<int>"))
+    each = rows.withColumn("at", F.explode(places)).withColumn("shingle", F.get("shingles", F.col("at"))).filter("shingle is not null")
+    key = F.xxhash64("key", "shingle").alias("key")
+    extra = (F.col("at") >= F.col("plain") + F.col("level")).alias("extra")
+    return _with_company(each.select(key, "node", "n", extra, "pivot", "d", "common", "at", level))
+
+
+def _narrower(crowded: DataFrame, pivots: DataFrame, measured: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
+    """Members under narrower keys: of a key whose pivot is nearer than the one before, by their difference from it.
+
+    Otherwise by one more shingle in which they differ from the pivot before. ``known`` has all that was measured.
     """
-    crowded = members.filter(F.col("size") > SMALL).select("key", "band", "node", "n")
-    further = F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("way")
-    at = (F.col("band") + (turn - 1) * SPLIT + F.col("way") + 1) % BANDS  # on no way the same key twice
-    dealt = crowded.select("*", further).withColumn("at", at).join(nodes.select("node", "keys"), "node")
-    key = F.xxhash64("key", "at", F.element_at("keys", F.col("at") + 1))
-    return _with_company(dealt.select(key.alias("key"), "band", "node", "n"))
+    dealt = crowded.join(pivots, "key")
+    now = measured.select(F.col("pivot").alias("by"), "node", F.col("d").alias("now"))
+    gap = F.sum(F.coalesce("now", F.lit(0))) < F.sum("d")
+    nearer = dealt.join(now, ["by", "node"], "left").groupBy("key").agg(F.coalesce(gap, F.lit(True)).alias("nearer"))
+    dealt = dealt.join(nearer, "key")
+    anew = dealt.filter("nearer").select(F.col("by").alias("pivot"), "node").distinct()
+    start = {"key": F.col("pivot"), "extra": F.lit(False), "at": F.lit(-1), "level": F.lit(0)}
+    fresh = _differences(_labelled(measured.join(anew, ["pivot", "node"]).withColumns(start), found))
+    more = known.dropDuplicates(["pivot", "node"]).select("pivot", "node", "plain", "most", "shingles")
+    further = dealt.filter(~F.col("nearer") & (F.col("extra") | (F.col("common") > F.col("level"))))
+    return fresh.unionByName(_differences(further.join(more, ["pivot", "node"])))
 
 
 def _with_company(members: DataFrame) -> DataFrame:
@@ -191,8 +264,9 @@ def near_copies(docs: DataFrame, proposed: DataFrame | None = None) -> DataFrame
     first = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
     first = materialize(first.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
     named = first.select(F.col("first").alias("doc_id"), "node")
-    nodes = materialize(rows.join(named, "doc_id").select("node", "n", "keys"), "nodes")
-    keyed = materialize(nodes.select("node", "n", F.posexplode("keys").alias("band", "key")), "keys")
+    own = rows.join(named, "doc_id").select("node", "n", F.explode("keys").alias("key"))
+    keyed = own.withColumn("extra", F.lit(False)).withColumn("pivot", F.lit(None).cast("long"))
+    keyed = materialize(keyed.withColumns({c: F.lit(None).cast("int") for c in ("d", "common", "at", "level")}), "keys")
     members = materialize(_with_company(keyed), "members")
     discard(keyed)
     wanted = members.select("node")
@@ -211,27 +285,33 @@ def near_copies(docs: DataFrame, proposed: DataFrame | None = None) -> DataFrame
         discard(stars)
         if not compared.filter("near").isEmpty():
             found = components(compared.filter("near").select("a", "b"))
-    turn, last = 0, (BANDS - 1) // SPLIT
-    while turn <= last and not members.isEmpty():
+    turn, known = 0, None
+    while not members.isEmpty():
         open_now = materialize(_labelled(members, found), "open-members")
+        discard(members)
         # in the first round all keys are crowded: most texts that are alike fall together
-        pairs = _stars(open_now if turn == 0 else open_now.filter(F.col("size") > SMALL), turn)
-        if turn:
-            pairs = pairs.unionByName(_all_of_small(open_now, None if turn == last else SMALL)).distinct()
-        pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialize(_compared(pairs, sets), "compared")
+        pairs = _all_met(open_now, turn == ROUNDS) if turn else _stars(open_now)
+        new = materialize(_compared(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets), "compared")
         compared = compared.unionByName(new)
-        left = open_now
-        if not new.filter("near").isEmpty():
+        linked, crowded = not new.filter("near").isEmpty(), open_now.filter(_crowded())
+        if not turn:
+            found = components(compared.filter("near").select("a", "b")) if linked else found
+            members, turn = open_now, 1
+            continue
+        if turn == ROUNDS or crowded.isEmpty():
+            found = components(compared.filter("near").select("a", "b")) if linked else found
+            discard(open_now)
+            break
+        pivots = materialize(_pivots(crowded), "pivots")
+        met = crowded.join(pivots, "key").filter("node <> by").select(F.col("by").alias("pivot"), "node", "n").distinct()
+        measured = materialize(_measured(met, sets), "compared")
+        known = measured if known is None else known.unionByName(measured)
+        compared = compared.unionByName(measured.select(*_ordered(F.col("pivot"), F.col("node")), "near").distinct())
+        if linked or not measured.filter("near").isEmpty():
             found = components(compared.filter("near").select("a", "b"))
-            if turn:
-                left = materialize(_labelled(members, found), "open-members")
-                discard(open_now)
-        if 0 < turn < last:
-            narrower = materialize(_split(left, nodes, turn), "members")
-            discard(members)
-            members = narrower
-        discard(left)
+        members = materialize(_narrower(crowded, pivots, measured, known, found), "members")
+        discard(open_now)
+        discard(pivots)
         turn += 1
     discard(sets)
     labelled = first.join(found, "node", "left").select("high", "low", "first", F.coalesce("least", "node").alias("least"))

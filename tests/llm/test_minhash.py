@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -112,3 +113,46 @@ def test_dissimilar_texts_that_share_keys_make_no_square(spark, tmp_path, monkey
             got, made[n] = pairs_made(spark, tmp_path, patch, texts, f"d{n}")
         assert got == dict(enumerate(brute_groups(texts)))
     assert made[160] < 2.5 * made[80]
+
+
+def test_similar_texts_differ_from_a_pivot_in_common_shingles():
+    """Of any two similar sets, one not near the pivot, the prefixes that are compared have a shingle in common."""
+    rng, met = random.Random(3), 0
+    pool = list(range(3000))
+    for _ in range(6000):
+        pivot = set(rng.sample(pool, rng.randrange(3, 60)))
+
+        def varied(base, share):
+            kept = {s for s in base if rng.random() > share * rng.random()}
+            return kept | set(rng.sample(pool, rng.randrange(int(share * len(base)) + 1))) or {1}
+
+        x = varied(pivot, 0.5)
+        y = varied(x, 0.15)
+        if x == y or jaccard(x, y) < 0.8:
+            continue
+        near, _, common, plain, most, prefix = zip(*(minhash.differing(np.array(sorted(s), np.uint64), np.array(sorted(pivot), np.uint64)) for s in (x, y)), strict=True)
+        assert near == (jaccard(x, pivot) >= 0.8, jaccard(y, pivot) >= 0.8)
+        if all(near):
+            continue
+        met += 1
+        both = (x ^ pivot) & (y ^ pivot)
+        reach = plain if not any(near) else most  # most is plain for what is near
+        least = max(c for c, other in zip(common, near[::-1], strict=True) if not other)
+        assert len(both) >= least
+        for level in range(1, min(least, 4) + 1):
+            assert len(set(prefix[0][: reach[0] + level - 1].tolist()) & set(prefix[1][: reach[1] + level - 1].tolist())) >= level
+    assert met > 300
+
+
+def test_a_star_makes_few_keys(spark, tmp_path, monkeypatch):
+    """Texts around one, near to it or not, make keys in proportion to their number (before: 3 of each, each round)."""
+    rng = random.Random(8)
+    middle = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [" ".join(f"v{rng.randrange(60)}" if rng.random() < i / 2000 else w for w in middle) for i in range(240)]
+    kept, write = [], minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, step: kept.append((step, write(df, step))) or kept[-1][1])
+    monkeypatch.setattr(minhash, "discard", lambda df: None)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    got = {r.doc_id: r.component_id for r in minhash.near_copies(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    assert got == dict(enumerate(brute_groups(texts)))
+    assert sum(df.count() for step, df in [m for m in kept if m[0] == "members"][1:]) < 40 * len(texts)
