@@ -108,11 +108,12 @@ def links(prints: DataFrame, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
     once = ~F.col("own") | (F.col("a") < F.col("b"))
     base = sparse.select(F.col("fingerprint").alias("b"), F.col("cell").alias("at"))
-    in_grid = probes.join(base, (F.col("cell") == F.col("at")) & near & once).select("a", "b")
+    # Spark sizes what an explode makes like a row of its input, so it might broadcast the probes: sort-merge joins
+    in_grid = probes.join(base.hint("merge"), (F.col("cell") == F.col("at")) & near & once).select("a", "b")
     # around full cells: through the points within one bit
     around = full.select(F.explode(_each(every)).alias("o"), "cell").select((F.col("cell") + F.col("o")).alias("cell"))
     flips = [0, *(1 << i if i < 63 else -(1 << 63) for i in range(64))]
-    points = cells.join(around.distinct(), "cell", "left_semi").select(
+    points = cells.join(around.distinct().hint("merge"), "cell", "left_semi").select(
         "fingerprint", F.explode(_each(flips)).alias("flip")
     )
     met = (

@@ -58,6 +58,18 @@ def test_links_find_all(spark, most_in_cell):
     assert {p: reached.get(p, p) for p in prints} == brute_components(sorted(prints))
 
 
+def test_no_exploded_rows_are_broadcast(spark):
+    df = spark.range(2000).selectExpr("xxhash64(id) as fingerprint")
+    lines = simhash.links(df)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    sent = None
+    for line in lines:
+        sent = None if sent is not None and depth(line) <= sent else sent
+        assert sent is None or "Generate" not in line
+        sent = depth(line) if sent is None and "BroadcastExchange" in line else sent
+    assert sum("SortMergeJoin" in line for line in lines) == 2
+
+
 def test_components_of_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (7, 3)]
     got = {r.node: r.least for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
