@@ -1,6 +1,10 @@
 import math
+import random
+import re
+from collections import Counter
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +94,40 @@ def test_kmers_of_other_letters(spark, k):
     assert sum(r.n for r in counts) == sum(map(len, got.values())) and all(len(r.kmer) == k for r in counts)
     canonical = spark.createDataFrame([("acgta",), ("TACGT",)], "s string").select(dna.canonical_kmer(F.col("s"), 5))
     assert canonical.distinct().count() == 1
+
+
+@pytest.mark.parametrize("k", [1, 3, 7, 21, 31])
+def test_packed_kmers_by_brute_force(spark, k, monkeypatch):
+    """Rows, arrays and counts of k-mers; no k-mer is a row before its part merges it."""
+    rng, flip = random.Random(k), str.maketrans("ACGT", "TGCA")
+    seqs = ["".join(rng.choices("ACGTacgtNR.", [9, 9, 9, 9, 1, 1, 1, 1, 1, 1, 1], k=rng.randrange(0, 90))) for _ in range(60)]
+    seqs += ["A" * 700, "ACGT" * 40, None, "", "C" * k, "N" * 50, "G" * (k - 1)]
+    reads = spark.createDataFrame([(i if i != 5 else None, s) for i, s in enumerate(seqs)], "read_id long, seq string")
+    want, arrays = [], {}
+    for i, s in ((i if i != 5 else None, re.sub("[^ACGT]", "N", s.upper())) for i, s in enumerate(seqs) if s is not None):
+        of = [] if len(s) >= k else None
+        for at in range(len(s) - k + 1):
+            kmer = s[at : at + k]
+            if "N" not in kmer:
+                rc = kmer[k // 2] in "GT"
+                kmer = kmer[::-1].translate(flip) if rc else kmer
+                want.append((kmer, i, len(s) - k - at if rc else at, rc))
+                of.append(kmer)
+        if of is not None:
+            arrays[i] = of
+    clean = pa.array([re.sub("[^ACGT]", "N", s.upper()) for s in seqs if s is not None and len(s) >= k])
+    parts = lambda: [tuple(map(list, zip(*p, strict=True))) for p in kmers._packed_kmers(clean[1:], k)]
+    whole = [r for p in parts() for r in p]
+    monkeypatch.setattr(kmers, "_STRETCH", 64)  # stretches end within reads
+    assert [r for p in parts() for r in p] == whole and len(parts()) > 1
+    monkeypatch.setattr(kmers, "_SORTED", 100)
+    got = [tuple(r) for r in kmers.with_kmer_text(kmers.kmer_rows(reads, k), k).select("kmer", "read_id", "pos", "rc").collect()]
+    order = lambda r: (r[0], r[1] is None, r[1] or 0, r[2], r[3])
+    assert sorted(got, key=order) == sorted(want, key=order)
+    texts = kmers.read_keys(reads, k).select("read_id", F.transform("keys", lambda x: dna.kmer_text(x, k)).alias("keys"))
+    assert {r.read_id: list(r["keys"]) for r in texts.collect()} == arrays
+    counts = kmers.kmer_counts(reads, k)
+    assert {r.kmer: r.n for r in kmers.with_kmer_text(counts, k).collect()} == Counter(w[0] for w in want)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan
+    assert kmers.kmer_counts(reads.limit(0), k).count() == 0
