@@ -2,6 +2,7 @@
 
 from hashlib import md5
 
+import numpy as np
 import pytest
 
 from catalog import queries, reads
@@ -45,6 +46,24 @@ def test_letters(spark, orders):
         assert (r.seq, r.qual) == (seq, qual)
 
 
+def test_digests_are_those_of_md5():
+    numbers = np.array([0, 9, 10, 99, 100, 12345, 10**17, 10**18 - 1])
+    want = lambda texts: [md5(x.encode()).digest()[:8] for x in texts]
+    assert [d.tobytes() for d in reads._digests(None, None, numbers)] == want(map(str, numbers.tolist()))
+    names, row = np.array([b"-7:0:", b"9223372036854775807:1:"]), np.arange(8) % 2
+    texts = [f"{names[r].decode()}{i}" for r, i in zip(row, numbers.tolist(), strict=True)]
+    assert [d.tobytes() for d in reads._digests(names, row, numbers)] == want(texts)
+    assert reads._digests(None, None, numbers[:0]).shape == (0, 8)
+    with pytest.raises(ValueError):
+        reads._digests(np.array([b"x" * 55]), np.array([0]), numbers[:1])
+
+
+def test_columns_draw_letters_in_array_steps(spark, orders):
+    """The hash of an order is the only one in the plan: those of bases are worked out in one Python step."""
+    plan = plan_of(queries.column_votes(spark, orders))
+    assert plan.count("md5(") == 1 and plan.count("ArrowEvalPython") == 1
+
+
 def test_columns_are_the_cells(spark, orders, monkeypatch):
     monkeypatch.setattr(reads, "TILE", 64)  # reads cross tiles
     got = reads.genome_columns(spark, orders).select("file_id", "col", "base", "qual").collect()
